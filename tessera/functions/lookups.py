@@ -6,24 +6,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-# Spread of rows whose key is null; they match nothing, so any salt is right.
-_NULL_SALTS = 4096
-
 
 def lookup(events: DataFrame, table: DataFrame, key: str, *, spread_by: Sequence[str]) -> DataFrame:
-    """Left join on a nullable key.
+    """Left join on a nullable whole-number key.
 
-    In a shuffled outer join all null keys fall into one partition.  The key is paired
-    with a salt: 0 for real keys and in ``table``, 1.. for null keys, so that unmatched
-    rows scatter by the ``spread_by`` columns.  Real hot keys are left to the skew-join
-    split, which halves them as often as needed; small tables are broadcast by Spark
-    after its own size check.
+    In a shuffled outer join all null keys fall into one partition.  Here a null key is
+    replaced by a hash of the ``spread_by`` columns, and the join condition says that
+    such rows match nothing.  Real hot keys are left to the skew-join split, which cuts
+    them as often as needed; small tables are broadcast by Spark after its own size check.
     """
-    salt = F.when(
-        F.col(key).isNull(),
-        1 + F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(_NULL_SALTS)),
-    ).otherwise(F.lit(0))
-    left = events.withColumn("_salt", salt).withColumn("_key", F.coalesce(F.col(key), F.lit(0)))
-    right = (table.filter(F.col(key).isNotNull())
-             .withColumnRenamed(key, "_key").withColumn("_salt", F.lit(0).cast("long")))
-    return left.join(right, ["_key", "_salt"], "left").drop("_key", "_salt")
+    known = F.col(key).isNotNull()
+    left = events.withColumn("_known", known).withColumn("_key", F.when(
+        known, F.col(key).cast("long")).otherwise(F.xxhash64(*[F.col(c) for c in spread_by])))
+    right = table.filter(known).withColumn("_right", F.col(key).cast("long")).drop(key)
+    matches = (F.col("_key") == F.col("_right")) & F.col("_known")
+    return left.join(right, matches, "left").drop("_key", "_right", "_known")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.constants import PERCENTS
 
-_RANGES = 128
+_MAX_RANGES = 128
 
 
 def stack(df: DataFrame, metrics: dict[str, Column], *, keep: Sequence[str] = ()) -> DataFrame:
@@ -27,21 +27,24 @@ def stack(df: DataFrame, metrics: dict[str, Column], *, keep: Sequence[str] = ()
             .select(*keep, "_m.metric", "_m.value").filter(F.col("value").isNotNull()))
 
 
-def _ranged(counts: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Counts with range number and, per range, the number of rows before it and in all."""
-    marks = [i / _RANGES for i in range(1, _RANGES)]
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, marks, 1000).alias("_cuts"))
+def _ranged(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Distinct values with their count ``_n``, range, rank offset and group statistics."""
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(8, min(_MAX_RANGES, partitions))
+    marks = [i / ranges for i in range(1, ranges)]
+    groups = counts.groupBy(*by).agg(
+        F.percentile_approx(value, marks, 1000).alias("_cuts"),
+        F.sum("_n").alias("n"),
+        (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("mean"),
+        F.min(value).alias("min"), F.max(value).alias("max"))
     # One row per group of `by`, which callers keep to named metrics or grid cells.
-    ranged = counts.join(F.broadcast(cuts), by).withColumn(
+    ranged = counts.join(F.broadcast(groups), by).withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    per_range = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_range_n"))
-    whole = Window.partitionBy(*by)
-    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.select(
-        *by, "_range", "_range_n",
-        F.coalesce(F.sum("_range_n").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_range_n").over(whole).alias("n"),
-    )
+    before = (Window.partitionBy(*by).orderBy("_range")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_range_n")).withColumn(
+        "_offset", F.coalesce(F.sum("_range_n").over(before), F.lit(0)))
     return ranged.join(F.broadcast(offsets), [*by, "_range"])
 
 
@@ -55,8 +58,7 @@ def _with_ranks(ranged: DataFrame, by: list[str], value: str) -> DataFrame:
 def value_ranks(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """``(by…, value, copies, below, n)`` for every distinct value of every group."""
     by = list(by)
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    return _with_ranks(_ranged(counts, by, value), by, value).select(
+    return _with_ranks(_ranged(df, by, value), by, value).select(
         *by, value, F.col("_n").alias("copies"), "below", "n")
 
 
@@ -64,15 +66,13 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str = "value",
                 percents: Sequence[float] = PERCENTS) -> DataFrame:
     """``(by…, n, mean, p<q>…, min, max)``, percentiles linearly interpolated."""
     by = list(by)
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    # Only ranges that hold a wanted rank, or the group's ends, are sorted.
-    ranged = _ranged(counts, by, value)
-    ranks = {q: F.col("n").cast("double") - 1 for q in percents}
-    ranks = {q: F.lit(q / 100.0) * r for q, r in ranks.items()}
+    ranged = _ranged(df, by, value)
+    ranks = {q: F.lit(q / 100.0) * (F.col("n").cast("double") - 1) for q in percents}
 
     def holds(rank: Column) -> Column:
         return (F.col("_offset") <= rank) & (rank < F.col("_offset") + F.col("_range_n"))
 
+    # Only ranges that hold a wanted rank are sorted.
     wanted = F.lit(False)
     for r in ranks.values():
         wanted = wanted | holds(F.floor(r)) | holds(F.ceil(r))
@@ -82,13 +82,8 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str = "value",
         here = (F.col("below") <= rank) & (rank < F.col("below") + F.col("_n"))
         return F.max(F.when(here, F.col(value)))
 
-    picked = ranked.groupBy(*by).agg(*[
-        (at(F.floor(r)) + (F.max(r) - F.max(F.floor(r))) * (at(F.ceil(r)) - at(F.floor(r))))
-        .alias(f"p{q:g}") for q, r in ranks.items()
-    ])
-    basics = counts.groupBy(*by).agg(
-        F.sum("_n").alias("n"),
-        (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("mean"),
-        F.min(value).alias("min"), F.max(value).alias("max"))
-    return basics.join(F.broadcast(picked), by).select(
-        *by, "n", "mean", *[f"p{q:g}" for q in percents], "min", "max")
+    return ranked.groupBy(*by).agg(
+        *[F.first(c).alias(c) for c in ("n", "mean")],
+        *[(at(F.floor(r)) + F.max(r - F.floor(r)) * (at(F.ceil(r)) - at(F.floor(r))))
+          .alias(f"p{q:g}") for q, r in ranks.items()],
+        *[F.first(c).alias(c) for c in ("min", "max")])

@@ -74,7 +74,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def grid_row(index: Column, width: int) -> Column:
-    return F.floor(index / F.lit(width)).cast("int")
+    return ((index - index % F.lit(width)) / F.lit(width)).cast("int")
 
 
 def grid_col(index: Column, width: int) -> Column:

@@ -30,7 +30,7 @@ def subset_overview(subset: DataFrame, events: DataFrame) -> DataFrame:
     return by_count.agg(
         F.sum("n").alias("n_admissions"),
         (F.sum(F.col("n_specimens") * F.col("n")) / F.sum("n")).alias("mean_specimens"),
-        F.percentile("n_specimens", 0.5, "n").alias("median_specimens"),
+        F.percentile("n_specimens", F.lit(0.5), F.col("n")).alias("median_specimens"),
         F.min("n_specimens").alias("min_specimens"),
         F.max("n_specimens").alias("max_specimens"),
     ).withColumn("total_admissions", total).withColumn(

@@ -167,9 +167,9 @@ def grid_sweep(events: DataFrame, subset: DataFrame, *, unit: str = "specimen_id
     return counts.groupBy("k").agg(
         F.sum("n_units").alias("n_units"),
         (F.sum(F.col("labs_in_grid") * F.col("n_units")) / F.sum("n_units")).alias("mean_labs"),
-        F.percentile("labs_in_grid", F.lit(0.5), "n_units").alias("median_labs"),
+        F.percentile("labs_in_grid", F.lit(0.5), F.col("n_units")).alias("median_labs"),
         (F.sum(fill * F.col("n_units")) / F.sum("n_units")).alias("mean_fill"),
-        F.percentile(fill, points, "n_units").alias("p"),
+        F.percentile(fill, points, F.col("n_units")).alias("p"),
     ).select("k", "n_units", "mean_labs", "median_labs", "mean_fill",
              *[F.col("p")[i].alias(f"p{q}") for i, q in enumerate(PERCENTS)])
 

@@ -125,7 +125,7 @@ def cell_columns(df: DataFrame, *values: Column) -> DataFrame:
 @query
 def ingest_null_tokens(s, d):
     """Text columns with every null token, as a CSV reader gives them, to typed columns."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = v.k_of_props()
     token = F.try_element_at(F.array(*[F.lit(t) for t in NULL_TOKENS]), k % 10 + 1)
     raw = v.table(s, d, "events").select(
         F.col("event_id").cast("string").alias("event_id"),
@@ -468,7 +468,7 @@ def grid_reconstruct(s, d):
 @query
 def numeric_coercion(s, d):
     """Result texts of several forms, made from the event's own numbers."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = v.k_of_props()
     whole_part = F.floor("value").cast("long").cast("string")
     forms = (F.when(k % 6 == 0, F.concat(whole_part, F.lit(".5")))
              .when(k % 6 == 1, F.concat(F.lit("-"), whole_part))
