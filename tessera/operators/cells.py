@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.functions.lookups import join_by_key
 from tessera.functions.ordered import order_key
 from tessera.functions.timing import elapsed_micros, in_bins, time_bin
 from tessera.functions.values import present, present_or_null, reference_scaled
@@ -22,7 +23,7 @@ def place_events(events: DataFrame, layout: DataFrame, *, n_bins: int, bin_hours
     """
     inside = events.filter(F.col("hadm_id").isNotNull() & in_bins(n_bins, bin_hours, anchor=anchor))
     if cohort is not None:
-        inside = inside.join(cohort.select("hadm_id"), "hadm_id", "left_semi")
+        inside = join_by_key(inside, cohort.select("hadm_id"), "hadm_id", "left_semi")
     return inside.join(F.broadcast(layout.select("itemid", "row", "col")), "itemid").withColumn(
         "time_bin", time_bin(bin_hours, anchor=anchor)
     ).withColumn("elapsed", elapsed_micros("charttime", anchor))
@@ -61,7 +62,7 @@ def specimen_cells(events: DataFrame, layout: DataFrame, *, scaled: bool = False
     """
     known = events.filter(F.col("specimen_id").isNotNull())
     if specimens is not None:
-        known = known.join(specimens.select("specimen_id"), "specimen_id", "left_semi")
+        known = join_by_key(known, specimens.select("specimen_id"), "specimen_id", "left_semi")
     value = (reference_scaled(F.col("valuenum"), F.col("ref_range_lower"),
                               F.col("ref_range_upper"))
              if scaled else present_or_null("valuenum"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.constants import MAX_SPECIMENS, WINDOW_HOURS
+from tessera.functions.lookups import join_by_key
 from tessera.functions.timing import in_first_hours, in_window
 
 
@@ -82,7 +83,7 @@ def combined_cohort(profile: DataFrame, *, min_specimens: int = 16, min_labs: in
 
 def keep_cohort(events: DataFrame, cohort: DataFrame) -> DataFrame:
     """Events of the cohort's admissions."""
-    return events.join(cohort.select("hadm_id"), "hadm_id", "left_semi")
+    return join_by_key(events, cohort.select("hadm_id"), "hadm_id", "left_semi")
 
 
 def default_subset(events: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tessera.functions.lookups import join_by_key
 from tessera.functions.timing import MICROS_PER_HOUR, after_anchor, elapsed_micros
 from tessera.functions.values import percent
 
@@ -90,7 +91,8 @@ def harmonise(events: DataFrame, mapping: DataFrame) -> DataFrame:
 
     ``mapping`` has one row per local ``itemid``; unmapped events are left out.
     """
-    return events.join(mapping.select("itemid", "concept_id", "factor", "shift"), "itemid").select(
+    mapped = join_by_key(events, mapping.select("itemid", "concept_id", "factor", "shift"), "itemid")
+    return mapped.select(
         *[F.col(c) for c in events.columns if c not in ("itemid", "valuenum")],
         F.col("concept_id").alias("itemid"),
         (F.col("valuenum") * F.col("factor") + F.col("shift")).alias("valuenum"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.constants import LOOKBACK_HOURS
-from tessera.functions.lookups import lookup
+from tessera.functions.lookups import join_by_key, lookup
 from tessera.functions.ordered import nearest_known, order_key
 from tessera.functions.timing import in_lookback
 
@@ -45,7 +45,7 @@ def _fill_from_last(events: DataFrame, admissions: DataFrame, tiebreak: Sequence
         F.max_by("hadm_id", "k").alias("_hadm"), F.max("k").alias("_hadm_at"),
         F.max_by("admittime", timed).alias("_admit"), F.max(timed).alias("_admit_at"),
     )
-    return events.join(last, "subject_id", "left").select(
+    return join_by_key(events, last, "subject_id", "left").select(
         *[F.col(c) for c in events.columns],
         F.when(key <= F.col("_admit_at"), F.col("_admit")).alias("_admit_filled"),
         F.when(key <= F.col("_hadm_at"), F.col("_hadm")).alias("_hadm_filled"),

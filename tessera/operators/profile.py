@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.constants import (DURATION_BUCKETS, MIN_LABS_STEPS, MIN_SPECIMENS_STEPS, PERCENTS,
                                SWEEP_SIZES)
+from tessera.functions.lookups import join_by_key
 from tessera.functions.ordered import nearest_known
 from tessera.functions.quantiles import percentiles, stack
 from tessera.functions.timing import span_hours
@@ -94,7 +95,7 @@ def lab_coverage(events: DataFrame, subset: DataFrame | None = None) -> DataFram
     """Per laboratory type: events, admissions, specimens, share of all admissions."""
     linked = events.filter(F.col("hadm_id").isNotNull())
     if subset is not None:
-        linked = linked.join(subset.select("hadm_id"), "hadm_id", "left_semi")
+        linked = join_by_key(linked, subset.select("hadm_id"), "hadm_id", "left_semi")
         total = subset.agg(F.count(F.lit(1)).alias("n")).scalar()
     else:
         total = linked.agg(F.countDistinct("hadm_id").alias("n")).scalar()
@@ -142,9 +143,9 @@ def _sweep(events: DataFrame, subset: DataFrame, unit: str, sizes: Sequence[int]
     ranked = top_labs(events, max(sizes), cohort=subset, exclude=exclude)
     usable = events.filter(F.col("hadm_id").isNotNull() & F.col(unit).isNotNull())
     keys = list(dict.fromkeys(["hadm_id", unit]))
-    seen = (usable.select(*keys, "itemid")
-            .join(F.broadcast(ranked.select("itemid", "rank")), "itemid").distinct()
-            .join(subset.select("hadm_id"), "hadm_id", "left_semi")
+    in_grid = (usable.select(*keys, "itemid")
+               .join(F.broadcast(ranked.select("itemid", "rank")), "itemid").distinct())
+    seen = (join_by_key(in_grid, subset.select("hadm_id"), "hadm_id", "left_semi")
             .select(unit, "rank").distinct())
     per_unit = seen.groupBy(unit).agg(*[
         F.count_if(F.col("rank") <= k).alias(f"k{k}") for k in sizes])

@@ -134,7 +134,7 @@ def normalise_tensors(tensors: DataFrame, layout: DataFrame, *, shape: tuple[int
                 "row", "col", "itemid", present_or_null("value").alias("value")))
     if stats is None:
         fitted_on = (sparse if train is None
-                     else sparse.join(train.select("hadm_id"), "hadm_id", "left_semi"))
+                     else cohort.keep_cohort(sparse, train))
         stats = cut_lineage(normalize.fit(fitted_on, places, log_itemids=log_itemids))
     z = normalize.transform(sparse, stats, limits=limits).drop("value").withColumnRenamed(
         "z", "value")

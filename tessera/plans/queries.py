@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tessera.constants import NULL_TOKENS
+from tessera.functions.lookups import join_by_key
 from tessera.functions.timing import (elapsed_hours, elapsed_micros, epoch_micros, in_window,
                                       time_bin)
 from tessera.functions.values import from_number_text, reference_scaled, zlog_scaled
@@ -147,7 +148,7 @@ def specimen_events(s, d):
     """All events of the richest specimen, in event order."""
     events = v.ev(s, d)
     best = profile.rich_specimens(v.ev_raw(s, d), top=1)
-    found = events.join(best.select("specimen_id"), "specimen_id", "left_semi")
+    found = events.join(F.broadcast(best.select("specimen_id")), "specimen_id", "left_semi")
     return tables.in_event_order(found).select(
         "specimen_id", "subject_id", micros("charttime"), whole("itemid"), "valuenum",
         "ref_range_lower", "ref_range_upper")
@@ -222,7 +223,7 @@ def anchor_offsets(s, d):
     """Offsets from another time zero: the first event of the same laboratory type."""
     events = v.ev_raw(s, d)
     zero = events.groupBy("hadm_id", "itemid").agg(F.min("charttime").alias("anchor"))
-    offsets = events.join(zero, ["hadm_id", "itemid"]).select(
+    offsets = join_by_key(events, zero, ["hadm_id", "itemid"]).select(
         elapsed_hours("charttime", "anchor").alias("hours"))
     return profile.histogram(offsets, "hours", bins=24).select(
         "bin", six("bin_low"), six("bin_high"), "count")
@@ -599,7 +600,7 @@ def shared_concepts(s, d):
                                  F.lit(1.0).alias("shift"))
     local = features.harmonise(v.ev_raw(s, d), mapping)
     both = features.shared_concepts(local, v.li(s, d).select("itemid"))
-    return local.join(both, "itemid", "left_semi").groupBy("itemid").agg(
+    return join_by_key(local, both, "itemid", "left_semi").groupBy("itemid").agg(
         F.count(F.lit(1)).alias("n_events"), six(F.max("valuenum"), "value_max"))
 
 

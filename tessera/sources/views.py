@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tessera.functions.lookups import join_by_key
+
 EV_WINDOW_HOURS, EV_BIN_HOURS, EV_BINS = 720, 30, 24
 LI_WINDOW_HOURS, LI_BIN_HOURS, LI_BINS = 51_840, 2_160, 24
 EV_SHAPE = (8, 8)
@@ -54,7 +56,7 @@ def ev_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = ev_raw(spark, sf_dir)
     admissions = events.groupBy("hadm_id").agg(F.min("charttime").alias("admittime"))
-    return events.join(admissions, "hadm_id")
+    return join_by_key(events, admissions, "hadm_id")
 
 
 def eb(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from tessera.functions.lookups import lookup
-from tessera.operators import link
+from tessera.operators import cohort, link
 from tessera.plans import queries as q
 from tessera.sources import views
 from tools.check_oracles import differences, tables
@@ -50,8 +50,9 @@ def test_scan_reads_only_needed_columns_and_filters_early(spark):
     assert "PushedFilters: [IsNotNull(ts), IsNotNull(user_id)" in plan
 
 
-def test_hot_subject_is_split_at_run_time(spark):
-    """One subject with most rows: the join of events with subjects is cut into several tasks."""
+@pytest.fixture()
+def small_splits(spark):
+    """Joins are shuffled and partitions above 20 kB count as skewed."""
     conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
@@ -61,17 +62,34 @@ def test_hot_subject_is_split_at_run_time(spark):
     old = {k: spark.conf.get(k, None) for k in conf}
     for k, value in conf.items():
         spark.conf.set(k, value)
-    try:
-        hot = F.when(F.col("event_id") % 3 > 0, 7).otherwise(F.col("subject_id"))
-        # Several map tasks, as any large table has; the split follows their outputs.
-        big = (views.eb(spark, "/root/testdata/sf0.01").repartition(8, "event_id")
-               .withColumn("subject_id", hot.cast("long")))
-        linked = link.link_events(big, views.eb_admissions(spark, "/root/testdata/sf0.01"))
-        linked._jdf.collectToPython()
-        assert "skew=true" in plan_of(linked)
-    finally:
-        for k, value in old.items():
-            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+    yield
+    for k, value in old.items():
+        spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+
+
+def hot_events(spark, column: str):
+    """Events of which two thirds share one key, from several map tasks as in any large table."""
+    hot = F.when(F.col("event_id") % 3 > 0, 7).otherwise(F.col(column)).cast("long")
+    events = views.eb(spark, "/root/testdata/sf0.01").repartition(8, "event_id")
+    return events.withColumn(column, hot)
+
+
+def runs_split(df) -> bool:
+    df._jdf.collectToPython()
+    return "skew=true" in plan_of(df)
+
+
+def test_hot_subject_is_split_at_run_time(spark, small_splits):
+    admissions = views.eb_admissions(spark, "/root/testdata/sf0.01")
+    assert runs_split(link.link_events(hot_events(spark, "subject_id"), admissions))
+
+
+def test_hot_admission_is_split_at_run_time(spark, small_splits):
+    events = hot_events(spark, "hadm_id")
+    # One row per admission, aggregated by the join key just before the join.
+    first = events.groupBy("hadm_id").agg(F.min("charttime").alias("admittime"))
+    assert runs_split(link.attach_admissions(events, first))
+    assert runs_split(cohort.keep_cohort(events, first))
 
 
 def test_lookup_keeps_every_row(spark):
