@@ -98,7 +98,3 @@ def layout_by_category(layout: DataFrame) -> DataFrame:
             .select("category", "n_cells", "first_index",
                     F.transform("e", lambda x: x["itemid"]).alias("itemids")))
 
-
-def label_or(itemid: str, label: str, default: str = "?"):
-    """Label with a stand-in for unknown types."""
-    return F.coalesce(F.col(label), F.lit(default)).alias(label)

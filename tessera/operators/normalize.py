@@ -31,7 +31,8 @@ def fit(cells: DataFrame, positions: DataFrame, *, log_itemids: Iterable[int] =
                  F.count(F.lit(1)).alias("n")))
     # At most H·W rows on either side.
     return positions.join(F.broadcast(seen), list(CHANNEL), "left").select(
-        *CHANNEL, "itemid", "label", log_flag(F.col("itemid"), log_itemids).alias("log_transform"),
+        *CHANNEL, "itemid", F.when(F.col("itemid").isNull(), "?").otherwise(F.col("label"))
+        .alias("label"), log_flag(F.col("itemid"), log_itemids).alias("log_transform"),
         F.coalesce("m", F.lit(0.0)).alias("mean"),
         F.coalesce(F.when(F.col("s") >= MIN_STD, F.col("s")), F.lit(1.0)).alias("std"),
         F.coalesce("n", F.lit(0)).alias("count"))

@@ -131,7 +131,7 @@ STEPS: dict[str, str] = {
                        ELSE value END AS x
         FROM cells""",
     "stats": """
-        SELECT g.row, g.col, l.itemid, coalesce(l.label, '(empty)') AS label,
+        SELECT g.row, g.col, l.itemid, coalesce(l.label, '?') AS label,
                CASE WHEN l.itemid % 5 = 0 THEN 1 ELSE 0 END AS log_transform,
                coalesce(m, 0) AS mean, CASE WHEN s >= 1e-8 THEN s ELSE 1 END AS std,
                coalesce(n, 0) AS count

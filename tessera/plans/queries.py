@@ -238,25 +238,25 @@ def _layout_columns(layout):
 
 @query
 def top_labs(s, d):
-    return grid.top_labs(v.ev_raw(s, d), N_CELLS).select(whole("itemid"), "n_events", "rank")
+    return grid.top_labs(v.ev_raw(s, d), N_CELLS).select(whole("itemid"), "n_events", whole("rank"))
 
 
 @query
 def top_labs_excluding(s, d):
-    return ev_ranked(s, d).select(whole("itemid"), "n_events", "rank")
+    return ev_ranked(s, d).select(whole("itemid"), "n_events", whole("rank"))
 
 
 @query
 def top_labs_subset(s, d):
     ranked = grid.top_labs(v.ev_raw(s, d), N_CELLS, exclude=v.EV_EXCLUDED, cohort=ev_subset(s, d))
-    return ranked.select(whole("itemid"), "n_events", "rank")
+    return ranked.select(whole("itemid"), "n_events", whole("rank"))
 
 
 @query
 def lab_rank(s, d):
     ranked = grid.top_labs(v.li(s, d), 256, linked_only=True)
     return profile.with_labels(ranked, v.parts(s, d)).select(
-        "itemid", "n_events", "rank", "label", "category")
+        "itemid", "n_events", whole("rank"), "label", "category")
 
 
 @query
@@ -278,7 +278,7 @@ def grid_layout_by_frequency(s, d):
 def grid_missing_labs(s, d):
     ranked = grid.top_labs(v.ev_raw(s, d), 100, linked_only=True)
     return grid.missing_from_vocabulary(ranked, v.voc(s, d)).select(whole("itemid"), "n_events",
-                                                                    "rank")
+                                                                    whole("rank"))
 
 
 @query

@@ -54,7 +54,7 @@ def test_report_and_counters(spark):
     stats = normalize.fit(cells, places(spark), log_itemids=(2, 3))
     out = normalize.report(stats).first()
     assert (out["clip_range"], out["n_labs"], out["n_log_transformed"]) == ([-10.0, 10.0], 4, 2)
-    assert out["labs"][0]["std"] == 0.707107 and out["labs"][3]["label"] == "(empty)"
+    assert out["labs"][0]["std"] == 0.707107 and out["labs"][3]["label"] == "?"
     z = spark.createDataFrame([(1, -10.0), (1, 10.0), (1, 10.0), (1, 3.5), (2, 0.0)],
                               "hadm_id long, z float")
     assert tuple(normalize.clip_counters(z).first()) == (5, 1, 2, 2, 20.0, 40.0, 40.0)
