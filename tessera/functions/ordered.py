@@ -16,6 +16,13 @@ from tessera.functions.timing import MICROS_PER_HOUR, epoch_micros
 
 # Slice of rows without a time; they come after every other slice.
 _NO_TIME = 1 << 62
+SLICE_HOURS = 24.0
+
+
+def time_slice(time: str, hours: float = SLICE_HOURS) -> Column:
+    """Number of the slice of time that a row falls into."""
+    return F.coalesce(F.floor(epoch_micros(time) / F.lit(hours * MICROS_PER_HOUR)),
+                      F.lit(_NO_TIME))
 
 
 def order_key(time: str, tiebreak: Sequence[str]) -> Column:
@@ -29,14 +36,17 @@ def order_key(time: str, tiebreak: Sequence[str]) -> Column:
 
 def nearest_known(df: DataFrame, known: dict[str, str], *, part: str, time: str,
                   tiebreak: Sequence[str], forward: bool, include_current: bool,
-                  slice_hours: float = 24.0) -> DataFrame:
+                  slice_hours: float = SLICE_HOURS, edges_from: DataFrame | None = None
+                  ) -> DataFrame:
     """Add, per entry ``new -> source`` of ``known``, the nearest non-null ``source``.
 
     ``forward=True`` looks at following rows, else at preceding ones.  ``part`` must
-    not be null.
+    not be null.  ``edges_from`` may give fewer rows with the same columns that still hold
+    the outermost known value of every slice.
     """
-    sliced = df.withColumn("_slice", F.coalesce(
-        F.floor(epoch_micros(time) / F.lit(slice_hours * MICROS_PER_HOUR)), F.lit(_NO_TIME)))
+    sliced = df.withColumn("_slice", time_slice(time, slice_hours))
+    outer = (sliced if edges_from is None
+             else edges_from.withColumn("_slice", time_slice(time, slice_hours)))
 
     order = [F.col(time).isNull(), F.col(time), *[F.col(c) for c in tiebreak]]
     turned = [c.desc() for c in order] if forward else [c.asc() for c in order]
@@ -46,10 +56,13 @@ def nearest_known(df: DataFrame, known: dict[str, str], *, part: str, time: str,
 
     pick = F.min_by if forward else F.max_by
     key = order_key(time, tiebreak)
-    per_slice = sliced.groupBy(part, "_slice").agg(*[
+    per_slice = outer.groupBy(part, "_slice").agg(*[
         pick(F.col(src), F.when(F.col(src).isNotNull(), key)).alias(f"_edge_{new}")
         for new, src in known.items()
     ])
+    if edges_from is not None:
+        every = sliced.select(part, "_slice").distinct()
+        per_slice = every.join(per_slice, [part, "_slice"], "left")
     slice_order = F.col("_slice").desc() if forward else F.col("_slice").asc()
     across = (Window.partitionBy(part).orderBy(slice_order)
               .rowsBetween(Window.unboundedPreceding, -1))

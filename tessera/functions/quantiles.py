@@ -29,7 +29,10 @@ def stack(df: DataFrame, metrics: dict[str, Column], *, keep: Sequence[str] = ()
 
 def _ranged(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Distinct values with their count ``_n``, range, rank offset and group statistics."""
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    # The filter drops nothing; it keeps `_n` in every branch below, so that the branches
+    # stay equal up to here and Spark runs the shuffle under them once.
+    counts = (df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+              .filter(F.col("_n") > 0))
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(8, min(_MAX_RANGES, partitions))
     marks = [i / ranges for i in range(1, ranges)]

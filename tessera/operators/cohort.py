@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.constants import MAX_SPECIMENS, WINDOW_HOURS
+from tessera.functions.counting import count_with_distincts
 from tessera.functions.lookups import join_by_key
 from tessera.functions.timing import in_first_hours, in_window
 
@@ -64,10 +65,8 @@ def top_admissions(events: DataFrame, *, top: int = 20, first_hours: int | None
     stay = events.filter(F.col("hadm_id").isNotNull())
     if first_hours is not None:
         stay = stay.filter(in_first_hours(first_hours))
-    counted = stay.groupBy("hadm_id").agg(
-        F.count(F.lit(1)).alias("n_events"),
-        F.countDistinct("itemid").alias("n_labs"),
-        F.countDistinct("specimen_id").alias("n_specimens"))
+    counted = count_with_distincts(stay, "hadm_id",
+                                   {"n_labs": "itemid", "n_specimens": "specimen_id"})
     total = stay.agg(F.countDistinct("hadm_id").alias("n")).scalar()
     return (counted.orderBy(F.desc("n_events"), "hadm_id").limit(top)
             .withColumn("total_admissions", total))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.constants import LOOKBACK_HOURS
 from tessera.functions.lookups import join_by_key, lookup
-from tessera.functions.ordered import nearest_known, order_key
+from tessera.functions.ordered import nearest_known, order_key, time_slice
 from tessera.functions.timing import in_lookback
 
 TIEBREAK = ("event_id",)
@@ -55,10 +55,17 @@ def _fill_from_last(events: DataFrame, admissions: DataFrame, tiebreak: Sequence
 def _fill_from_next(events: DataFrame, admissions: DataFrame, tiebreak: Sequence[str]) -> DataFrame:
     """The value of the nearest following row that has one (the row itself included)."""
     attached = attach_admissions(events, admissions, spread_by=tiebreak)
+    # The first row of each admission in a slice is enough to know the slice's first values.
+    first = (events.filter(F.col("hadm_id").isNotNull())
+             .groupBy("subject_id", "hadm_id", time_slice("charttime").alias("_slice"))
+             .agg(F.min(order_key("charttime", tiebreak)).alias("k"))
+             .select("subject_id", "hadm_id", F.col("k.at").alias("charttime"),
+                     *[F.col(f"k.tie{i}").alias(c) for i, c in enumerate(tiebreak)])
+             .join(admissions.select("hadm_id", "admittime"), "hadm_id", "left"))
     filled = nearest_known(
         attached, {"_admit_filled": "admittime", "_hadm_filled": "hadm_id"},
         part="subject_id", time="charttime", tiebreak=tiebreak,
-        forward=True, include_current=True)
+        forward=True, include_current=True, edges_from=first)
     return filled.drop("admittime")
 
 

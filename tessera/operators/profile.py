@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.constants import (DURATION_BUCKETS, MIN_LABS_STEPS, MIN_SPECIMENS_STEPS, PERCENTS,
                                SWEEP_SIZES)
+from tessera.functions.counting import count_with_distincts
 from tessera.functions.lookups import join_by_key
 from tessera.functions.ordered import nearest_known
 from tessera.functions.quantiles import percentiles, stack
@@ -39,12 +40,11 @@ def specimen_profile(events: DataFrame, *, cells: int = 256) -> DataFrame:
 
 def admission_profile(events: DataFrame) -> DataFrame:
     """Per admission: events, distinct types and specimens, hours between first and last."""
-    return (events.filter(F.col("hadm_id").isNotNull() & F.col("charttime").isNotNull())
-            .groupBy("hadm_id").agg(
-                F.count(F.lit(1)).alias("n_events"),
-                F.countDistinct("itemid").alias("n_labs"),
-                F.countDistinct("specimen_id").alias("n_specimens"),
-                span_hours(F.min("charttime"), F.max("charttime")).alias("hours")))
+    timed = events.filter(F.col("hadm_id").isNotNull() & F.col("charttime").isNotNull())
+    counted = count_with_distincts(
+        timed, "hadm_id", {"n_labs": "itemid", "n_specimens": "specimen_id"}, time="charttime")
+    return counted.select("hadm_id", "n_events", "n_labs", "n_specimens",
+                          span_hours(F.col("first_at"), F.col("last_at")).alias("hours"))
 
 
 def sampling_frequency(profile: DataFrame) -> DataFrame:
@@ -99,11 +99,9 @@ def lab_coverage(events: DataFrame, subset: DataFrame | None = None) -> DataFram
         total = subset.agg(F.count(F.lit(1)).alias("n")).scalar()
     else:
         total = linked.agg(F.countDistinct("hadm_id").alias("n")).scalar()
-    return linked.groupBy("itemid").agg(
-        F.count(F.lit(1)).alias("n_events"),
-        F.countDistinct("hadm_id").alias("n_admissions"),
-        F.countDistinct("specimen_id").alias("n_specimens"),
-    ).withColumn("admission_pct", F.lit(100.0) * F.col("n_admissions") / total)
+    counted = count_with_distincts(linked, "itemid", {"n_admissions": "hadm_id",
+                                                      "n_specimens": "specimen_id"})
+    return counted.withColumn("admission_pct", F.lit(100.0) * F.col("n_admissions") / total)
 
 
 def with_labels(per_lab: DataFrame, vocabulary: DataFrame) -> DataFrame:
