@@ -10,19 +10,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tessera.functions.timing import MICROS_PER_HOUR, epoch_micros
 
-# Slice of rows without a time; they come after every other slice.
+# Rows without a time come after every other slice.
 _NO_TIME = 1 << 62
+UNTIMED_BLOCK = 1_000_000
 SLICE_HOURS = 24.0
 
 
-def time_slice(time: str, hours: float = SLICE_HOURS) -> Column:
-    """Number of the slice of time that a row falls into."""
-    return F.coalesce(F.floor(epoch_micros(time) / F.lit(hours * MICROS_PER_HOUR)),
-                      F.lit(_NO_TIME))
+def time_slice(df: DataFrame, time: str, tiebreak: Sequence[str],
+               hours: float = SLICE_HOURS) -> Column:
+    """Number of the slice that a row falls into, ascending in time order.
+
+    Rows without a time are cut by blocks of the first tie-break where that is a number.
+    """
+    untimed = F.lit(_NO_TIME)
+    if tiebreak and isinstance(df.schema[tiebreak[0]].dataType, T.IntegralType):
+        block = F.floor(F.col(tiebreak[0]) / F.lit(UNTIMED_BLOCK))
+        untimed = untimed + F.coalesce(block, F.lit(-UNTIMED_BLOCK * UNTIMED_BLOCK))
+    return F.coalesce(F.floor(epoch_micros(time) / F.lit(hours * MICROS_PER_HOUR)), untimed)
 
 
 def order_key(time: str, tiebreak: Sequence[str]) -> Column:
@@ -44,9 +52,9 @@ def nearest_known(df: DataFrame, known: dict[str, str], *, part: str, time: str,
     not be null.  ``edges_from`` may give fewer rows with the same columns that still hold
     the outermost known value of every slice.
     """
-    sliced = df.withColumn("_slice", time_slice(time, slice_hours))
-    outer = (sliced if edges_from is None
-             else edges_from.withColumn("_slice", time_slice(time, slice_hours)))
+    at = time_slice(df, time, tiebreak, slice_hours)
+    sliced = df.withColumn("_slice", at)
+    outer = sliced if edges_from is None else edges_from.withColumn("_slice", at)
 
     order = [F.col(time).isNull(), F.col(time), *[F.col(c) for c in tiebreak]]
     turned = [c.desc() for c in order] if forward else [c.asc() for c in order]

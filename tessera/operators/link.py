@@ -57,7 +57,8 @@ def _fill_from_next(events: DataFrame, admissions: DataFrame, tiebreak: Sequence
     attached = attach_admissions(events, admissions, spread_by=tiebreak)
     # The first row of each admission in a slice is enough to know the slice's first values.
     first = (events.filter(F.col("hadm_id").isNotNull())
-             .groupBy("subject_id", "hadm_id", time_slice("charttime").alias("_slice"))
+             .groupBy("subject_id", "hadm_id",
+                      time_slice(events, "charttime", tiebreak).alias("_slice"))
              .agg(F.min(order_key("charttime", tiebreak)).alias("k"))
              .select("subject_id", "hadm_id", F.col("k.at").alias("charttime"),
                      *[F.col(f"k.tie{i}").alias(c) for i, c in enumerate(tiebreak)])

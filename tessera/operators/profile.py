@@ -77,8 +77,7 @@ def specimen_gaps(events: DataFrame) -> DataFrame:
                            & F.col("charttime").isNotNull())
              .groupBy("hadm_id", "specimen_id").agg(F.min("charttime").alias("spec_time")))
     previous = nearest_known(times, {"prev_time": "spec_time"}, part="hadm_id", time="spec_time",
-                             tiebreak=("specimen_id",), forward=False, include_current=False,
-                             slice_hours=240.0)
+                             tiebreak=("specimen_id",), forward=False, include_current=False)
     return previous.filter(F.col("prev_time").isNotNull()).select(
         "hadm_id", "specimen_id",
         span_hours(F.col("prev_time"), F.col("spec_time")).alias("gap_hours"))

@@ -6,7 +6,7 @@ import pytest
 from conftest import at, rows
 from pyspark.sql import functions as F
 
-from tessera.functions import quantiles, timing, values
+from tessera.functions import counting, quantiles, timing, values
 from tessera.functions.lookups import lookup
 from tessera.functions.ordered import nearest_known
 
@@ -156,3 +156,19 @@ def test_stack_leaves_nulls_out(spark):
     df = spark.createDataFrame([(1, None), (2, 3)], "a int, b int")
     out = quantiles.stack(df, {"a": F.col("a"), "b": F.col("b")})
     assert rows(out) == [("a", 1.0), ("a", 2.0), ("b", 3.0)]
+
+
+def test_distinct_counts_equal_pandas(spark):
+    rng = np.random.default_rng(9)
+    frame = pd.DataFrame({"k": rng.choice([1, 1, 1, 2, 3], 800), "a": rng.integers(0, 40, 800),
+                          "b": rng.integers(0, 7, 800).astype(float)})
+    frame.loc[::5, "b"] = np.nan
+    frame["t"] = pd.Timestamp("2020-01-01") + pd.to_timedelta(rng.integers(0, 900, 800), "m")
+    df = spark.createDataFrame(frame).select(
+        "k", "a", F.when(~F.isnan("b"), F.col("b").cast("int")).alias("b"),
+        F.col("t").cast("timestamp_ntz").alias("t"))
+    got = counting.count_with_distincts(df, "k", {"n_a": "a", "n_b": "b"}, time="t").toPandas()
+    for _, r in got.iterrows():
+        g = frame[frame.k == r.k]
+        assert (r.n_events, r.n_a, r.n_b) == (len(g), g.a.nunique(), g.b.nunique())
+        assert (r.first_at, r.last_at) == (g.t.min(), g.t.max())

@@ -5,6 +5,7 @@ import pytest
 from conftest import at, rows
 from pyspark.sql import functions as F
 
+from tessera.functions import ordered
 from tessera.operators import link
 
 EVENTS = "event_id long, subject_id long, charttime timestamp_ntz, hadm_id long, itemid int"
@@ -88,7 +89,10 @@ def brute(events, admissions, policy):
 
 
 @pytest.mark.parametrize("policy", link.POLICIES)
-def test_hot_subject_equals_brute_force(spark, policy):
+@pytest.mark.parametrize("untimed", [0.05, 0.6])
+def test_hot_subject_equals_brute_force(spark, policy, untimed, monkeypatch):
+    # Small blocks, so that rows without a time fall into many slices as well.
+    monkeypatch.setattr(ordered, "UNTIMED_BLOCK", 40)
     rng = random.Random(11)
     start = pd.Timestamp("2020-01-01")
 
@@ -98,7 +102,7 @@ def test_hot_subject_equals_brute_force(spark, policy):
     admissions = [(h, time()) for h in range(30)]
     # Ids 30..34 are not in the admission table.
     events = [(i, 1 if rng.random() < 0.6 else rng.randint(2, 5),
-               None if rng.random() < 0.05 else time(),
+               None if rng.random() < untimed else time(),
                rng.randint(0, 34) if rng.random() < 0.2 else None, 1) for i in range(500)]
     out = link.fill_admissions(spark.createDataFrame(events, EVENTS),
                                spark.createDataFrame(admissions, ADMISSIONS), policy=policy)
