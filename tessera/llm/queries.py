@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe
+from tessera.llm import bpe, chat, line_rules
 from tessera.llm.common import table
 
 
@@ -14,7 +15,87 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    own = spark.range(2).select(
+        F.lit(-7).alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digests(turns.union(own))
+
+
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op7_chat_format": op7_chat_format,
+    "op9_line_rules": op9_line_rules,
+}
+_OP7 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), stepped AS (
+  SELECT *, lag(role, 1, 'start') OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+         AS loss_sha256,
+       CAST(sum(15 + length(role) + length(text)
+                + length(regexp_replace(text, '[^\\<#]', '', 'g'))) AS BIGINT) AS formatted_chars,
+       bool_and((before, role) IN (('start', 'system'), ('start', 'user'), ('system', 'user'),
+                                   ('user', 'assistant'), ('assistant', 'user')))
+         AND arg_max(role, (turn, role, text)) IN ('user', 'assistant') AS valid
+FROM stepped GROUP BY conv_id
+"""
+
+_OP9 = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         string_split(coalesce(text, ''), chr(10)) AS l
+  FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM cut WHERE len(w) >= 3
+), doubled AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM windows
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words
+  FROM doubled, (SELECT unnest([0, 1, 2]) AS j) WHERE n >= 2 GROUP BY doc_id
+), line AS (
+  SELECT doc_id, host, unnest(l) AS line FROM cut
+), worded AS (
+  SELECT doc_id, host, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+         array_to_string(regexp_extract_all(regexp_replace(
+           translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'),
+           '[^\x20\x09-\x0D]+'), ' ') AS normal
+  FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY doc_id
+), frequent AS (
+  SELECT host, normal FROM worded JOIN (SELECT host, count(*) AS docs FROM cut GROUP BY host) USING (host)
+  GROUP BY host, normal, docs HAVING count(DISTINCT doc_id) > greatest(20, 0.02 * docs)
+), lost AS (
+  SELECT doc_id, sum(words) AS n_lost FROM worded JOIN frequent USING (host, normal) GROUP BY doc_id
+), base AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         CAST(coalesce(n_lost, 0) AS BIGINT) AS n_lost
+  FROM cut LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN lost USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_lost <= 0.5 * n_words AS kept
+FROM base
+"""
+
+ORACLES: dict[str, str] = {
+    "op7_chat_format": _OP7,
+    "op9_line_rules": _OP9,
 }
-ORACLES: dict[str, str] = {}
