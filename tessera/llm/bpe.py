@@ -13,7 +13,6 @@ import functools
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +96,7 @@ def narrow_pattern(pattern: str) -> re.Pattern:
 class Bpe:
     """Encoder and decoder for one rank file."""
 
-    def __init__(self, path: str, pattern: str, matrix_bytes: int = 256, cache: int = 600_000) -> None:
+    def __init__(self, path: str, pattern: str, matrix_bytes: int = 256, cache: int = 300_000) -> None:
         with open(path, "rb") as file:
             rows = [line.split() for line in file if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in rows}
@@ -105,20 +104,20 @@ class Bpe:
         self.pattern, self.narrow = regex.compile(pattern), narrow_pattern(pattern)
         self.wide = re.compile(f"[^\\x00-{chr(_NARROW - 1)}]")
         self.matrix_bytes, self.cache_size = matrix_bytes, cache
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], rank) for t, rank in self.ranks.items()
                  for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         left, right, rank = np.array(pairs, np.int64).T
         self.pairs = PairTable(left, right, rank.astype(np.int32))
         self.byte_rank = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
 
-    def _matrix(self, pieces: list[bytes], width: int) -> list[tuple[int, ...]]:
+    def _matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
         """Encode pieces of at most ``width`` bytes, all in one matrix."""
         lengths = np.array([len(p) for p in pieces])
         tokens = np.full((len(pieces), width), -1, np.int32)
         inside = np.arange(width) < lengths[:, None]
         tokens[inside] = self.byte_rank[np.frombuffer(b"".join(pieces), np.uint8)]
-        out: list[tuple[int, ...]] = [()] * len(pieces)
+        out = [b""] * len(pieces)
         row = np.arange(len(pieces))
         rank = np.full((len(pieces), width), _NONE, np.int32)
         valid = inside[:, 1:]
@@ -130,8 +129,9 @@ class Bpe:
             done = merged == _NONE
             if done.any():
                 ended = np.flatnonzero(done)
-                for i, ids, n in zip(row[ended], tokens[ended].tolist(), lengths[ended]):
-                    out[i] = tuple(ids[:n])
+                block, stride = tokens[ended].tobytes(), 4 * tokens.shape[1]
+                for k, (i, n) in enumerate(zip(row[ended].tolist(), lengths[ended].tolist())):
+                    out[i] = block[k * stride:k * stride + 4 * n]
                 keep = np.flatnonzero(~done)
                 lengths, row, best, merged = lengths[keep], row[keep], best[keep], merged[keep]
                 if not len(row):
@@ -154,7 +154,7 @@ class Bpe:
             rank[has, best[has] - 1] = self.pairs.lookup(tokens[has, best[has] - 1], merged[has])
         return out
 
-    def _long(self, piece: bytes) -> tuple[int, ...]:
+    def _long(self, piece: bytes) -> bytes:
         """The same merges in the same order over a linked list, for one long piece."""
         ids = self.byte_rank[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
@@ -178,7 +178,7 @@ class Bpe:
             for k in (before[i], i):
                 if k >= 0 and (r := pair(k)) is not None:
                     heapq.heappush(heap, (r, k, ids[k], ids[after[k]]))
-        return tuple(x for x in ids if x >= 0)
+        return np.array([x for x in ids if x >= 0], np.int32).tobytes()
 
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of pieces into the cache."""
@@ -186,7 +186,7 @@ class Bpe:
         for piece in pieces:
             raw = piece.encode()
             if (whole := self.ranks.get(raw)) is not None:
-                self.cache[piece] = (whole,)
+                self.cache[piece] = whole.to_bytes(4, "little")
             elif len(raw) > self.matrix_bytes:
                 self.cache[piece] = self._long(raw)
             else:
@@ -198,17 +198,14 @@ class Bpe:
                 for (piece, _), ids in zip(part, self._matrix([raw for _, raw in part], width)):
                     self.cache[piece] = ids
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         split = [(self.pattern if self.wide.search(text) else self.narrow).findall(text)
                  for text in texts]
         if len(self.cache) > self.cache_size:
             self.cache.clear()
         self.learn(set().union(*split).difference(self.cache))
         for pieces in split:
-            ids: list[int] = []
-            for part in map(self.cache.__getitem__, pieces):
-                ids += part
-            yield ids
+            yield np.frombuffer(b"".join(map(self.cache.__getitem__, pieces)), np.int32)
 
     @functools.cached_property
     def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,7 +248,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", *, path: s
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 rows = list(bpe.encode(texts))
                 offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-                flat = pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1])))
+                flat = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in names), pa.ListArray.from_arrays(offsets, flat)],
                     names=[*names, ids])
