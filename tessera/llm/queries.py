@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, line_rules, packing, rule_ensemble
+from tessera.llm import bpe, chat, line_rules, packing, rule_ensemble, toxicity
 from tessera.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(turns.union(own))
 
 
+def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.verdicts(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rule_ensemble": op2_rule_ensemble,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_chat_format": op7_chat_format,
+    "op8_toxicity_grammar": op8_toxicity_grammar,
     "op9_line_rules": op9_line_rules,
 }
 _OP7 = r"""
