@@ -10,8 +10,8 @@ and pattern weights are learnt from labelled rows.
 from __future__ import annotations
 
 import functools
+import math
 import re
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
@@ -35,10 +35,11 @@ THREAT = frozenset("kill hurt destroy murder töten umbringen matar matarte tuer
 #: What a composed match puts out.
 PATTERNS = ("insult", "insult_target", "insult_negated", "insult_reported",
             "threat_target", "threat_other")
-#: Log odds that each pattern brings before labels are seen: once, and per doubling.
-_PRIOR_ANY = (3.0, 4.0, 1.0, 1.0, 4.0, 0.5)
-_PRIOR_MORE = (0.5, 0.5, 0.2, 0.2, 0.5, 0.1)
-_PRIOR_BASE = -4.0
+#: Log odds that a pattern brings before labels are seen: by occurring, and per log odds of its
+#: words; then by the doublings of the text's length, and by themselves.
+_PRIOR_ANY = (0.5, 1.0, -1.0, -1.0, 2.0, 0.0)
+_PRIOR_MORE = (0.8, 1.0, 0.3, 0.3, 1.0, 0.2)
+_PRIOR_LENGTH, _PRIOR_BASE = -0.1, -3.0
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE_END = re.compile(r"[.!?;:\n]")
@@ -103,82 +104,102 @@ def _pattern(kind: str, tags: set[str]) -> str:
 
 
 class Scorer:
-    """Finds marked words with one automaton and runs the grammar over their clauses only."""
-
-    def __init__(self, stems: tuple[str, ...]) -> None:
-        self.stems = ahocorasick.Automaton()
-        for stem in stems:
-            self.stems.add_word(stem, "I")
-        for word in THREAT:
-            self.stems.add_word(word, "T")
-        self.stems.make_automaton()
-        self.insult = re.compile("|".join(map(re.escape, sorted(stems, key=len, reverse=True))) or r"(?!)")
-
-    def _symbol(self, word: str) -> str:
-        if self.insult.match(word):
-            return "I"
+    """Finds marked words with one automaton and runs the grammar over their clauses only.
+
+    ``lexicon`` maps beginnings of words to the log odds of label 1; one that ends in ``$`` is a
+    whole word.  The longest entry counts for a word, and a word counts as an insult if its
+    log odds are above zero.
+    """
+
+    def __init__(self, lexicon: tuple[tuple[str, float], ...]) -> None:
+        self.lexicon = dict(lexicon)
+        self.longest = max(map(len, self.lexicon), default=0)
+        self.finder = ahocorasick.Automaton()
+        for start in [*(k.rstrip("$") for k, v in lexicon if v > 0), *THREAT]:
+            self.finder.add_word(start, len(start))
+        self.finder.make_automaton()
+
+    def _symbol(self, word: str) -> tuple[str, float]:
+        whole = word + "$"
+        for k in range(min(len(whole), self.longest), 2, -1):
+            weight = self.lexicon.get(whole[:k])
+            if weight is not None:
+                if weight > 0:
+                    return "I", weight
+                break
         if word in THREAT:
-            return "T"
+            return "T", 2.0
         if word in TARGET:
-            return "Y"
+            return "Y", 0.0
         if word in NEGATION:
-            return "N"
-        return "R" if word in REPORT else "-"
+            return "N", 0.0
+        return ("R" if word in REPORT else "-"), 0.0
 
-    def counts(self, text: str) -> Counter:
-        """How often the clauses of a text match each pattern."""
+    def weights(self, text: str) -> dict[str, float]:
+        """Per pattern the log odds of the different words that its matches marked."""
         low = text.lower()
-        found: Counter = Counter()
+        if not len(self.finder):
+            return {}
+        found: dict[tuple[str, str], float] = {}
         done = -1
         move, output = grammar()
-        for end, _ in self.stems.iter(low):
-            if end < done:
+        for end, length in self.finder.iter(low):
+            at = end - length + 1
+            if end < done or at and low[at - 1].isalpha():
                 continue
-            begin = max(map(low.rfind, ".!?;:\n", [0] * 6, [end + 1] * 6)) + 1
+            begin = max(low.rfind(mark, 0, at) for mark in ".!?;:\n") + 1
             stop = _CLAUSE_END.search(low, end)
             done = stop.start() if stop else len(low)
             state = 0
             for word in _WORD.findall(low, begin, done):
-                symbol = self._symbol(word)
+                symbol, weight = self._symbol(word)
                 if (pattern := output[state, symbol]):
-                    found[pattern] += 1
+                    found[pattern, word] = weight
                 state = move[state, symbol]
-        return found
+        out: dict[str, float] = {}
+        for (pattern, _), weight in found.items():
+            out[pattern] = out.get(pattern, 0.0) + weight
+        return out
 
     def features(self, text: str) -> list[float]:
-        found = self.counts(text)
-        return [float(found[p] > 0) for p in PATTERNS] + [float(np.log2(1 + found[p])) for p in PATTERNS]
+        found = self.weights(text)
+        return [*(float(p in found) for p in PATTERNS), *(min(found.get(p, 0.0), 12.0) for p in PATTERNS),
+                math.log2(1 + text.count(" ")) if found else 0.0]
 
 
 @functools.cache
-def scorer(stems: tuple[str, ...]) -> Scorer:
-    return Scorer(stems)
+def scorer(lexicon: tuple[tuple[str, float], ...]) -> Scorer:
+    return Scorer(lexicon)
 
 
 def stem_statistics(sample: DataFrame, *, longest: int = 12) -> DataFrame:
-    """Per beginning of a word (3 to ``longest`` letters): rows that hold it, by label, and
-    the number of different words before it in rows of label 1.
+    """Per beginning of a word (3 to ``longest`` letters, ``$`` after a whole word) how often rows
+    of label 1 and all rows hold a word with it, and the number of different words before it in
+    rows of label 1.
 
     Copies of one text repeat a rare word after the same word, so they don't add contexts.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}{1,64}"), F.lit(0))
-    seen = sample.select("doc_id", "label", words.alias("w")).select(
-        "label", F.explode(F.array_distinct(F.when(
-            F.col("label") == 1, F.arrays_zip(F.col("w").alias("word"), F.concat(F.array(F.lit("")), F.col("w")).alias("before")))
-            .otherwise(F.transform(F.array_distinct("w"), lambda w: F.struct(w.alias("word"), F.lit("").alias("before")))))).alias("p"))
-    pairs = (seen.select("label", "p.word", "p.before").filter(F.length("word") >= 3)
-             .groupBy("word", "before").agg(F.sum("label").alias("pos"), F.count("*").alias("n")))
-    per_word = pairs.groupBy("word").agg(
-        F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.sum((F.col("pos") > 0).cast("int")).alias("contexts"))
-    stems = F.transform(F.sequence(F.lit(3), F.least(F.length("word"), F.lit(longest))),
-                        lambda k: F.substring("word", F.lit(1), k))
+    with_before = F.arrays_zip(F.col("w").alias("word"),
+                               F.concat(F.array(F.lit("")), F.col("w")).alias("before"))
+    alone = F.transform("w", lambda w: F.struct(w.alias("word"), F.lit(None).cast("string").alias("before")))
+    held = F.when(F.col("label") == 1, F.concat(alone, with_before)).otherwise(alone)
+    seen = sample.select("label", words.alias("w")).select("label", F.explode(F.array_distinct(held)).alias("p"))
+    once = F.col("before").isNull()
+    per_word = (seen.select("label", "p.word", "p.before").filter(F.length("word") >= 3)
+                .groupBy("word", "before").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
+                .groupBy("word").agg(F.sum(F.when(once, F.col("pos"))).alias("pos"),
+                                     F.sum(F.when(once, F.col("n"))).alias("n"),
+                                     F.count("before").alias("contexts")))
+    whole = F.concat("word", F.lit("$"))
+    stems = F.transform(F.sequence(F.lit(3), F.least(F.length(whole), F.lit(longest))),
+                        lambda k: F.substring(whole, F.lit(1), k))
     return per_word.select(F.explode(stems).alias("stem"), "pos", "n", "contexts").groupBy("stem").agg(
         F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.sum("contexts").alias("contexts"))
 
 
-def choose_stems(table: list[tuple[str, int, int]], branch: float = 0.5) -> tuple[str, ...]:
-    """From (stem, pos, contexts) keep stems at which the words branch out into many endings."""
-    known = {stem: pos for stem, pos, _ in table}
+def choose_stems(known: dict[str, int], branch: float = 0.5) -> list[str]:
+    """Of candidate stems and their counts keep those at which words branch out into endings."""
     children: dict[str, list[str]] = {}
     for stem in known:
         children.setdefault(stem[:-1], []).append(stem)
@@ -190,26 +211,53 @@ def choose_stems(table: list[tuple[str, int, int]], branch: float = 0.5) -> tupl
             open_ += below
         else:
             chosen.append(stem)
-    return tuple(sorted(chosen))
+    return sorted(chosen)
 
 
-def learn_stems(sample: DataFrame, *, min_contexts: int = 5, precision: float = 0.9,
-                most: int = 5_000) -> tuple[str, ...]:
-    """Stems of label 1, from statistics cut to the ``most`` with the most contexts."""
-    table = (stem_statistics(sample)
-             .filter((F.col("contexts") >= min_contexts) & (F.col("pos") >= precision * F.col("n")))
+def learn_lexicon(sample: DataFrame, *, min_contexts: int = 5, min_ratio: float = 8.0,
+                  min_z: float = 8.0, most: int = 5_000) -> tuple[tuple[str, float], ...]:
+    """Stems far likelier in rows of label 1, and their endings that are not, with log odds.
+
+    A candidate has ``min_contexts`` different words before it, is ``min_ratio`` times likelier
+    under label 1 and ``min_z`` standard deviations above chance; of more than ``most`` those
+    with the most contexts stay.
+    """
+    totals = sample.agg(F.sum("label"), F.count("*")).first()
+    positive, rows = totals[0] or 0, totals[1]
+    if not 0 < positive < rows:
+        return ()
+    share = positive / rows
+    base = float(np.log(positive / (rows - positive)))
+    table = stem_statistics(sample)
+    odds = F.log((F.col("pos") + 0.5) / (F.col("n") - F.col("pos") + 0.5)) - F.lit(base)
+    z = (F.col("pos") - share * F.col("n")) / F.sqrt(share * (1 - share) * F.col("n"))
+    table = table.select("stem", "pos", "n", "contexts", odds.alias("odds"), z.alias("z"))
+    found = (table.filter((F.col("contexts") >= min_contexts) & (F.col("odds") >= float(np.log(min_ratio)))
+                          & (F.col("z") >= min_z))
              .orderBy(F.desc("contexts"), "stem").limit(most).collect())
-    return choose_stems([(r.stem, r.pos, r.contexts) for r in table])
+    stems = choose_stems({r.stem: r.pos for r in found})
+    lexicon = {r.stem: min(r.odds, 6.0) for r in found if r.stem in set(stems)}
+    if stems:
+        # Longer beginnings that speak against their stem; the list of stems is bounded by `most`.
+        own = F.broadcast(sample.sparkSession.createDataFrame([(s,) for s in stems], "own string"))
+        lengths = sorted({len(s) for s in stems})
+        starts = F.array(*[F.substring("stem", 1, k) for k in lengths])
+        against = (table.filter((F.col("n") >= 5) & (F.col("odds") < 1.0))
+                   .withColumn("own", F.explode(F.array_distinct(starts)))
+                   .filter(F.length("own") < F.length("stem")).join(own, "own")
+                   .select("stem", "odds").distinct().orderBy("stem").limit(most).collect())
+        lexicon |= {r.stem: min(r.odds, 0.0) for r in against}
+    return tuple(sorted(lexicon.items()))
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    stems: tuple[str, ...]
+    lexicon: tuple[tuple[str, float], ...]
     weights: tuple[float, ...]
 
 
 def _prior() -> np.ndarray:
-    return np.array([*_PRIOR_ANY, *_PRIOR_MORE, _PRIOR_BASE])
+    return np.array([*_PRIOR_ANY, *_PRIOR_MORE, _PRIOR_LENGTH, _PRIOR_BASE])
 
 
 def _scored(df: DataFrame, keep: str, model: ToxicityModel, features: bool) -> DataFrame:
@@ -217,7 +265,7 @@ def _scored(df: DataFrame, keep: str, model: ToxicityModel, features: bool) -> D
     names = keep.split(", ")
 
     def run(batches):
-        grammar_of = scorer(model.stems)
+        grammar_of = scorer(model.lexicon)
         w = np.array(model.weights)
         for batch in batches:
             for part in slices(batch, "text"):
@@ -239,15 +287,15 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", *,
     Weights are drawn towards the grammar's own, so patterns that no label shows keep those.
     """
     sample = labelled_sample(documents, labels, label, limit=limit)
-    stems = learn_stems(sample)
-    blank = ToxicityModel(stems, tuple(_prior()))
+    lexicon = learn_lexicon(sample)
+    blank = ToxicityModel(lexicon, tuple(_prior()))
     rows = (_scored(sample, "doc_id, label", blank, features=True)
             .orderBy("doc_id").select("label", "made").toPandas())
     if not len(rows):
         return blank
     x = np.array(rows["made"].tolist(), float)
     w = trees.ridge_logistic(x, rows["label"].to_numpy(float), _prior(), strength=0.5)
-    return ToxicityModel(stems, tuple(float(v) for v in w))
+    return ToxicityModel(lexicon, tuple(float(v) for v in w))
 
 
 def score(documents: DataFrame, model: ToxicityModel, id_column: str = "doc_id") -> DataFrame:
