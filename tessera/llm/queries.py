@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, line_rules, packing, rule_ensemble, toxicity
+from tessera.llm import bpe, chat, line_rules, packing, probminhash, rule_ensemble, toxicity
 from tessera.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op2_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_rule_ensemble": op2_rule_ensemble,
+    "op3_probminhash": op3_probminhash,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_chat_format": op7_chat_format,
     "op8_toxicity_grammar": op8_toxicity_grammar,
