@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -27,6 +28,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver's cleaner drop shuffle files of steps whose result is materialised.
+
+    They are dropped once the driver has collected its garbage, which may otherwise be late.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of a column's text, modulo ``divisor``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, line_rules, packing, probminhash, rule_ensemble, toxicity
+from tessera.llm import bpe, chat, line_rules, packing, phrases, probminhash, rule_ensemble, toxicity
 from tessera.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rule_ensemble": op2_rule_ensemble,
     "op3_probminhash": op3_probminhash,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_phrase_automata": op6_phrase_automata,
     "op7_chat_format": op7_chat_format,
     "op8_toxicity_grammar": op8_toxicity_grammar,
     "op9_line_rules": op9_line_rules,
@@ -75,6 +80,29 @@ SELECT conv_id, count(*) AS n_turns,
 FROM stepped GROUP BY conv_id
 """
 
+_OP6 = r"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM cut WHERE len(w) >= 20
+), keyed AS (
+  SELECT doc_id, s, sha256(array_to_string(w[s:s + 19], ' ')) AS k FROM windows
+), covered AS (
+  SELECT doc_id, s FROM keyed QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1
+), words AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM cut
+), gone AS (
+  SELECT DISTINCT doc_id, s + j AS i FROM covered, (SELECT unnest(range(20)) AS j)
+), kept AS (
+  SELECT doc_id, i, word FROM words ANTI JOIN gone USING (doc_id, i)
+), rest AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM kept GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM cut LEFT JOIN rest USING (doc_id)
+"""
+
 _OP9 = r"""
 WITH cut AS (
   SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
@@ -116,6 +144,7 @@ FROM base
 """
 
 ORACLES: dict[str, str] = {
+    "op6_phrase_automata": _OP6,
     "op7_chat_format": _OP7,
     "op9_line_rules": _OP9,
 }
