@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import trees
-from tessera.llm.common import remainder, slices
+from tessera.llm.common import materialize, remainder, slices
 from tessera.llm.rule_ensemble import MAX_LABELLED, labelled_sample
 
 # Closed-class words of the grammar in the corpus's four languages.
@@ -231,7 +231,9 @@ def learn_lexicon(sample: DataFrame, *, min_contexts: int = 5, min_ratio: float
     table = stem_statistics(sample)
     odds = F.log((F.col("pos") + 0.5) / (F.col("n") - F.col("pos") + 0.5)) - F.lit(base)
     z = (F.col("pos") - share * F.col("n")) / F.sqrt(share * (1 - share) * F.col("n"))
-    table = table.select("stem", "pos", "n", "contexts", odds.alias("odds"), z.alias("z"))
+    # Read twice below; beginnings of fewer than five rows serve neither time.
+    table = materialize(table.filter("n >= 5").select(
+        "stem", "pos", "n", "contexts", odds.alias("odds"), z.alias("z")))
     found = (table.filter((F.col("contexts") >= min_contexts) & (F.col("odds") >= float(np.log(min_ratio)))
                           & (F.col("z") >= min_z))
              .orderBy(F.desc("contexts"), "stem").limit(most).collect())
@@ -242,7 +244,7 @@ def learn_lexicon(sample: DataFrame, *, min_contexts: int = 5, min_ratio: float
         own = F.broadcast(sample.sparkSession.createDataFrame([(s,) for s in stems], "own string"))
         lengths = sorted({len(s) for s in stems})
         starts = F.array(*[F.substring("stem", 1, k) for k in lengths])
-        against = (table.filter((F.col("n") >= 5) & (F.col("odds") < 1.0))
+        against = (table.filter(F.col("odds") < 1.0)
                    .withColumn("own", F.explode(F.array_distinct(starts)))
                    .filter(F.length("own") < F.length("stem")).join(own, "own")
                    .select("stem", "odds").distinct().orderBy("stem").limit(most).collect())
