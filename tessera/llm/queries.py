@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, line_rules, packing, phrases, probminhash, rule_ensemble, toxicity
+from tessera.llm import bpe, chat, hamming, line_rules, packing, phrases, probminhash, rule_ensemble, toxicity
 from tessera.llm.common import table
 
 
@@ -48,6 +48,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hamming.search(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_rule_ensemble": op2_rule_ensemble,
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat_format": op7_chat_format,
     "op8_toxicity_grammar": op8_toxicity_grammar,
     "op9_line_rules": op9_line_rules,
+    "op10_hamming_topk": op10_hamming_topk,
 }
 _OP7 = r"""
 WITH turns AS (
@@ -143,8 +149,18 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM base
 """
 
+_OP10 = f"""
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS rank FROM (
+    SELECT q.vec_id, e.vec_id AS neighbour,
+           {" + ".join(f"((q.embedding[{i}] > 0) <> (e.embedding[{i}] > 0))::INT" for i in range(1, 65))} AS distance
+    FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0)
+) WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op6_phrase_automata": _OP6,
     "op7_chat_format": _OP7,
     "op9_line_rules": _OP9,
+    "op10_hamming_topk": _OP10,
 }
