@@ -18,7 +18,7 @@ of smaller id, or earlier in the same one.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import numpy as np
@@ -216,25 +216,26 @@ def covered_words(documents: DataFrame, id_column: str = "doc_id", text: str = "
 
 
 def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text: str = "text", *,
-                   window: int = WINDOW) -> DataFrame:
-    """Rows (id, n_words, n_removed, kept): kept is the words that stay, joined by one space.
+                   window: int = WINDOW, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows (id, n_words, n_removed, kept) and the columns ``keep``: kept is the words that stay,
+    joined by one space.
 
     Null and empty texts have no words and an empty rest.  Rows without an id take no part: they
     cover nothing and keep all.  Rows that repeat an id count as the same place, so they don't
     cover each other.
     """
-    kind = documents.schema[id_column].dataType.simpleString()
     runs = covered_words(documents, id_column, text, window=window)
     # Runs of one document are at most its windows.
     runs = (runs.distinct().groupBy(F.col("id").alias("_id"))
-            .agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")))
+            .agg(F.collect_list("start").alias("_starts"), F.collect_list("stop").alias("_stops")))
+    carried = [id_column, *keep]
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, text):
                 counts, removed, kept = [], [], []
-                for raw, starts, stops in zip(large_binary(part.column("text")).to_pylist(),
-                                              part.column("starts"), part.column("stops")):
+                for raw, starts, stops in zip(large_binary(part.column(text)).to_pylist(),
+                                              part.column("_starts"), part.column("_stops")):
                     words = raw.split()
                     n = len(words)
                     if starts.is_valid:
@@ -246,13 +247,14 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text: str =
                     removed.append(n - len(words))
                     kept.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()),
-                     pa.array(kept, pa.binary()).cast(pa.string())],
-                    names=[id_column, "n_words", "n_removed", "kept"])
-
-    texts = documents.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    return texts.join(runs, F.col("id") == F.col("_id"), "left").select("id", "text", "starts", "stops").mapInArrow(
-        run, f"`{id_column}` {kind}, n_words bigint, n_removed bigint, kept string")
+                    [*(part.column(c) for c in carried), pa.array(counts, pa.int64()),
+                     pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                    names=[*carried, "n_words", "n_removed", "kept"])
+
+    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carried)
+    joined = documents.select(*carried, *({text} - set(carried))).join(
+        runs, F.col(id_column) == F.col("_id"), "left").drop("_id")
+    return joined.mapInArrow(run, f"{kinds}, n_words bigint, n_removed bigint, kept string")
 
 
 def digests(documents: DataFrame) -> DataFrame:

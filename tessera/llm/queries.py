@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, hamming, line_rules, packing, phrases, probminhash, rule_ensemble, toxicity
+from tessera.llm import bpe, chat, hamming, line_rules, packing, phrases, pii, probminhash, rule_ensemble, toxicity
 from tessera.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_rule_ensemble": op2_rule_ensemble,
     "op3_probminhash": op3_probminhash,
+    "op4_pii_boosting": op4_pii_boosting,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_phrase_automata": op6_phrase_automata,
     "op7_chat_format": op7_chat_format,

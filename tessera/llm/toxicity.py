@@ -12,7 +12,7 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
 
@@ -262,24 +262,24 @@ def _prior() -> np.ndarray:
     return np.array([*_PRIOR_ANY, *_PRIOR_MORE, _PRIOR_LENGTH, _PRIOR_BASE])
 
 
-def _scored(df: DataFrame, keep: str, model: ToxicityModel, features: bool) -> DataFrame:
-    """Columns (keep, score), or (keep, features)."""
-    names = keep.split(", ")
+def _scored(df: DataFrame, keep: Sequence[str], model: ToxicityModel, text: str, out: str,
+            features: bool = False) -> DataFrame:
+    """The columns ``keep``, and ``out``: the score, or the features that it is made of."""
 
     def run(batches):
         grammar_of = scorer(model.lexicon)
         w = np.array(model.weights)
         for batch in batches:
-            for part in slices(batch, "text"):
-                x = np.array([grammar_of.features(t or "") for t in part.column("text").to_pylist()])
+            for part in slices(batch, text):
+                x = np.array([grammar_of.features(t or "") for t in part.column(text).to_pylist()])
                 made = (pa.array(x.tolist(), pa.list_(pa.float64())) if features
                         else pa.array(trees.sigmoid(x @ w[:-1] + w[-1])))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in names), made], names=[*names, "made"])
+                    [*(part.column(c) for c in keep), made], names=[*keep, out])
 
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
-    return df.select(*names, "text").mapInArrow(
-        run, f"{kinds}, made {'array<double>' if features else 'double'}")
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(*keep, *({text} - set(keep))).mapInArrow(
+        run, f"{kinds}, `{out}` {'array<double>' if features else 'double'}")
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", *,
@@ -291,7 +291,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", *,
     sample = labelled_sample(documents, labels, label, limit=limit)
     lexicon = learn_lexicon(sample)
     blank = ToxicityModel(lexicon, tuple(_prior()))
-    rows = (_scored(sample, "doc_id, label", blank, features=True)
+    rows = (_scored(sample, ["doc_id", "label"], blank, "text", "made", features=True)
             .orderBy("doc_id").select("label", "made").toPandas())
     if not len(rows):
         return blank
@@ -300,9 +300,10 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", *,
     return ToxicityModel(lexicon, tuple(float(v) for v in w))
 
 
-def score(documents: DataFrame, model: ToxicityModel, id_column: str = "doc_id") -> DataFrame:
-    """Rows (id, score); null and empty texts have the score of no match."""
-    return _scored(documents, id_column, model, features=False).withColumnRenamed("made", "score")
+def score(documents: DataFrame, model: ToxicityModel, keep: Sequence[str] = ("doc_id",), *,
+          text: str = "text", out: str = "score") -> DataFrame:
+    """The columns ``keep`` and the score; null and empty texts have the score of no match."""
+    return _scored(documents, list(keep), model, text, out)
 
 
 def classify(documents: DataFrame, labels: DataFrame, *, folds: int = 3, held: int = 1,
