@@ -21,12 +21,18 @@ from tessera.llm.common import materialize, slices
 SHINGLE = 5
 THRESHOLD = (4, 5)  # 0.8 as a fraction, so that ties are exact
 BANDS, ROWS = 24, 6
-#: Registers of 144 whose four bits must agree.  At similarity 0.8 a mean of 117 do, with a
-#: standard deviation of 4.7; three of those are left as margin.
-AGREE = 103
+#: Registers of the signature; the bands use the first of them, the sketch all.
+REGISTERS = 288
 PIVOTS = 4
 
 
+def agreeing_registers(registers: int) -> int:
+    """Least number of registers whose four bits agree: at similarity 0.8 a share of
+    0.8 + 0.2 / 16 does, and three standard deviations are left as margin."""
+    share = 0.8 + 0.2 / 16
+    return int(share * registers - 3 * (share * (1 - share) * registers) ** 0.5)
+
+
 def shingles(h: np.ndarray, first: np.ndarray, size: int = SHINGLE):
     """Distinct shingles of each text with their counts: (hash, count, text).
 
@@ -96,10 +102,10 @@ def _per_text(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 
 
 def fingerprints(documents: DataFrame, id_column: str, text: str, *, bands: int = BANDS,
-                 rows: int = ROWS) -> DataFrame:
+                 rows: int = ROWS, registers: int = REGISTERS) -> DataFrame:
     """Per text: 128 bits that name its set of shingles, the set's size, its band keys and sketch."""
-    if bands * rows % 16:
-        raise ValueError("registers must fill words of sixteen")
+    if registers % 16 or registers < bands * rows:
+        raise ValueError("registers must fill words of sixteen and all bands")
 
     def run(batches):
         for batch in batches:
@@ -108,7 +114,7 @@ def fingerprints(documents: DataFrame, id_column: str, text: str, *, bands: int
                 found = W.words(*W.buffers(part.column(text)))
                 gram, count, owner = shingles(found.hashes(), found.first)
                 size = np.bincount(owner, minlength=n)
-                signature = signatures(gram, 1 + np.log(count), owner, n, bands * rows)
+                signature = signatures(gram, 1 + np.log(count), owner, n, registers)
                 keys = band_keys(signature, bands, rows)
                 sketch = sketches(signature)
                 wide = np.arange(n + 1, dtype=np.int32) * sketch.shape[1]
@@ -194,7 +200,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str = "text", *,
-                    bands: int = BANDS, rows: int = ROWS, agree: int | None = None,
+                    bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS,
                     pivots: int = PIVOTS) -> DataFrame:
     """One row per document: (id, class_id), the least id of its class.
 
@@ -207,9 +213,8 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
     Null and empty texts have no shingles and stay alone; a text of one to four words is one
     shingle.  Rows without an id have no class.  Rows that repeat an id are one vertex.
     """
-    words = bands * rows // 16
-    agree = AGREE * bands * rows // 144 if agree is None else agree
-    prints = materialize(fingerprints(documents, id_column, text, bands=bands, rows=rows)
+    words, agree = registers // 16, agreeing_registers(registers)
+    prints = materialize(fingerprints(documents, id_column, text, bands=bands, rows=rows, registers=registers)
                          .withColumnRenamed(id_column, "id"))
     known = prints.filter(F.col("id").isNotNull() & (F.col("size") > 0))
     classes = materialize(known.groupBy("set1", "set2", "size").agg(
