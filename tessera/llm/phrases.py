@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.common import large_binary, materialize, release, slices
+from tessera.llm.common import large_binary, release, slices, stored
 
 WINDOW, GRAM = 20, 6
 #: Contexts of one anchor, and contexts of one automaton.
@@ -187,23 +187,29 @@ def covered_words(documents: DataFrame, id_column: str = "doc_id", text: str = "
     kind = documents.schema[id_column].dataType.simpleString()
     found = contexts(documents, id_column, text, window=window, gram=gram)
     recurring = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    places = materialize(found.join(recurring, "anchor"))
+    places = stored(found.join(recurring, "anchor"))
     release(documents.sparkSession)
 
-    first = materialize(places.withColumn("at", _order()).groupBy("anchor", "context")
-                        .agg(F.min("at").alias("first")))
-    per_anchor = first.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    marked = first.join(per_anchor, "anchor", "left")
-    marked = materialize(places.withColumn("at", _order()).join(marked, ["anchor", "context"]))
+    first = stored(places.withColumn("at", _order()).groupBy("anchor", "context")
+                   .agg(F.min("at").alias("first")))
+    several = first.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    earlier = F.col("at") > F.col("first")
+    # What equals an earlier context is covered; of the rest only anchors with several contexts go on.
+    marked = (places.withColumn("at", _order()).join(first.join(several, "anchor", "left"), ["anchor", "context"])
+              .filter(earlier | F.col("n").isNotNull())
+              .select("id", "start", "windows", earlier.alias("earlier"),
+                      F.when(~earlier, F.col("anchor")).alias("anchor"), (F.col("n") > hot_contexts).alias("hot")))
+    marked = stored(marked)
     release(documents.sparkSession)
-    repeated = marked.filter("at > first").select(
+    repeated = marked.filter("earlier").select(
         "id", "start", (F.col("start") + F.col("windows") + (window - 1)).alias("stop"))
 
-    open_ = marked.filter((F.col("at") == F.col("first")) & F.col("n").isNotNull())
+    open_ = marked.filter("NOT earlier")
     cuts = open_.groupBy("id").agg(F.collect_list(F.struct(
-        "anchor", "start", "windows", (F.col("n") > hot_contexts).alias("hot"))).alias("cuts"))
+        "anchor", "start", "windows", "hot")).alias("cuts"))
     texts = documents.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    phrases = materialize(_phrases(texts.join(cuts, "id"), kind, window))
+    phrases = stored(_phrases(texts.join(cuts, "id"), kind, window))
+    release(documents.sparkSession)
     by_automata = _automata(phrases.filter("NOT hot"), kind, window, hot_contexts)
 
     hot = phrases.filter("hot").select(
@@ -226,7 +232,7 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text: str =
     """
     runs = covered_words(documents, id_column, text, window=window)
     # Runs of one document are at most its windows.
-    runs = (runs.distinct().groupBy(F.col("id").alias("_id"))
+    runs = (runs.groupBy(F.col("id").alias("_id"))
             .agg(F.collect_list("start").alias("_starts"), F.collect_list("stop").alias("_stops")))
     carried = [id_column, *keep]
 
