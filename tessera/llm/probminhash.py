@@ -278,4 +278,5 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
     out = prints.select("id", "set1", "set2", "size").join(
         roots, (F.col("set1") == F.col("_s1")) & (F.col("set2") == F.col("_s2"))
         & (F.col("size") == F.col("_size")), "left")
-    return out.select(F.col("id").alias(id_column), F.coalesce("class_id", "id").alias("class_id"))
+    mine = F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id"))
+    return out.select(F.col("id").alias(id_column), mine.alias("class_id"))
