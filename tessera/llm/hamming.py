@@ -158,10 +158,13 @@ def search(items: DataFrame, queries: DataFrame, *, id_column: str = "vec_id", v
                             ("least", pa.int64()), ("distance", pa.int64())])
         return pa.concat_tables([t.cast(schema) for t in out]) if out else schema.empty_table()
 
+    # By a given number of partitions, so that Spark doesn't put small blocks into one task again.
+    parts = max(blocks * chunks, 1)
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    left = entries.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks))).withColumn("chunk", everywhere)
+    left = entries.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks))).withColumn("chunk", everywhere).repartition(parts, "block", "chunk")
     right = codes.withColumn("chunk", F.pmod(F.xxhash64("q"), F.lit(chunks)).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    ).repartition(parts, "block", "chunk")
     met = (left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
            .applyInArrow(run, "q array<bigint>, code array<bigint>, least bigint, distance bigint"))
     near = _first(met, ["q"], ["distance", "least"], k).drop("rank", "least")
