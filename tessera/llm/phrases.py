@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.lookups import join_by_key
 from tessera.llm import words as W
 from tessera.llm.common import large_binary, release, slices, stored
 
@@ -187,7 +188,7 @@ def covered_words(documents: DataFrame, id_column: str = "doc_id", text: str = "
     kind = documents.schema[id_column].dataType.simpleString()
     found = contexts(documents, id_column, text, window=window, gram=gram)
     recurring = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    places = stored(found.join(recurring, "anchor"))
+    places = stored(join_by_key(found, recurring, "anchor"))
     release(documents.sparkSession)
 
     first = stored(places.withColumn("at", _order()).groupBy("anchor", "context")
