@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.lookups import join_by_key
 from tessera.llm import words as W
 from tessera.llm.common import materialize, slices
 
@@ -222,12 +223,12 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
 
     spread = classes.select("rep", F.posexplode("keys").alias("band", "key"))
     buckets = spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialize(spread.join(buckets, "key").select("key", "band", "rep"))
+    members = materialize(join_by_key(spread, buckets, "key").select("key", "band", "rep"))
     # Pivots are the members of the least hash under a few seeds.
     chosen = members.select("key", "rep", *[F.xxhash64("rep", F.lit(i)).alias(f"h{i}") for i in range(pivots)])
     chosen = chosen.groupBy("key").agg(F.array_distinct(F.array(
         *[F.min_by("rep", f"h{i}") for i in range(pivots)])).alias("p")).select("key", F.explode("p").alias("pivot"))
-    star = (members.join(chosen, "key").filter("pivot != rep")
+    star = (join_by_key(members, chosen, "key").filter("pivot != rep")
             .select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct())
     traits = classes.select("rep", "size", "sketch")
     a_side = traits.select(F.col("rep").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("ka"))
@@ -248,7 +249,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
     counted = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
     main = (counted.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("cs"))
             .filter("cs > 1").select("key", "main"))
-    mixed = materialize(placed.join(main, "key").join(
+    mixed = materialize(join_by_key(placed, main, "key").join(
         classes.select("rep", "size", "keys", "sketch"), "rep"))
     x = mixed.filter("c != main").select(*[F.col(c).alias(f"x_{c}") for c in mixed.columns])
     y = mixed
