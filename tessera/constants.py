@@ -52,7 +52,6 @@ LOOKBACK_HOURS = 24
 
 PERCENTS = (5, 25, 50, 75, 95)
 SWEEP_SIZES = (64, 100, 144, 256)
-MAX_SPECIMENS = 23
 
 # (label, from hours, to hours), half open.
 DURATION_BUCKETS = (

@@ -42,6 +42,28 @@ def order_key(time: str, tiebreak: Sequence[str]) -> Column:
     )
 
 
+# Fixed-width form of the order: microseconds · 10^20 plus the tie-break above its least value.
+_TIE_SPAN = "100000000000000000000"
+_TIE_SHIFT = "9223372036854775809"
+_UNTIMED_MICROS = 998_000_000_000_000_000
+
+
+def rank_key(df: DataFrame, time: str, tiebreak: Sequence[str]) -> Column:
+    """The order of :func:`order_key` as one decimal where the tie-break is one whole number.
+
+    Aggregates by a struct sort their input on both sides of the shuffle; by a decimal they
+    are hashed.  Holds for times before the year 33,000; other tie-breaks keep the struct.
+    """
+    whole = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+    if len(tiebreak) != 1 or not isinstance(df.schema[tiebreak[0]].dataType, whole):
+        return order_key(time, tiebreak)
+    micros = F.coalesce(epoch_micros(time), F.lit(_UNTIMED_MICROS)).cast("decimal(18,0)")
+    tie = F.coalesce(F.col(tiebreak[0]).cast("decimal(20,0)") + F.lit(_TIE_SHIFT).cast("decimal(20,0)"),
+                     F.lit(0).cast("decimal(20,0)"))
+    scaled = micros * F.lit(_TIE_SPAN).cast("decimal(21,0)")
+    return (scaled.cast("decimal(38,0)") + tie.cast("decimal(38,0)")).cast("decimal(38,0)")
+
+
 def nearest_known(df: DataFrame, known: dict[str, str], *, part: str, time: str,
                   tiebreak: Sequence[str], forward: bool, include_current: bool,
                   slice_hours: float = SLICE_HOURS, edges_from: DataFrame | None = None
@@ -63,7 +85,7 @@ def nearest_known(df: DataFrame, known: dict[str, str], *, part: str, time: str,
               .rowsBetween(Window.unboundedPreceding, last_row))
 
     pick = F.min_by if forward else F.max_by
-    key = order_key(time, tiebreak)
+    key = rank_key(df, time, tiebreak)
     per_slice = outer.groupBy(part, "_slice").agg(*[
         pick(F.col(src), F.when(F.col(src).isNotNull(), key)).alias(f"_edge_{new}")
         for new, src in known.items()

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.constants import PERCENTS
 
-_MAX_RANGES = 128
+_LEAST_RANGES = 8
 
 
 def stack(df: DataFrame, metrics: dict[str, Column], *, keep: Sequence[str] = ()) -> DataFrame:
@@ -34,21 +34,21 @@ def _ranged(df: DataFrame, by: list[str], value: str) -> DataFrame:
     counts = (df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
               .filter(F.col("_n") > 0))
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(8, min(_MAX_RANGES, partitions))
+    ranges = max(_LEAST_RANGES, partitions)
     marks = [i / ranges for i in range(1, ranges)]
     groups = counts.groupBy(*by).agg(
-        F.percentile_approx(value, marks, 1000).alias("_cuts"),
+        F.percentile_approx(value, marks, max(1000, 10 * ranges)).alias("_cuts"),
         F.sum("_n").alias("n"),
         (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("mean"),
         F.min(value).alias("min"), F.max(value).alias("max"))
-    # One row per group of `by`, which callers keep to named metrics or grid cells.
-    ranged = counts.join(F.broadcast(groups), by).withColumn(
+    # Spark broadcasts the groups or the offsets where they are small.
+    ranged = counts.join(groups, by).withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     before = (Window.partitionBy(*by).orderBy("_range")
               .rowsBetween(Window.unboundedPreceding, -1))
     offsets = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_range_n")).withColumn(
         "_offset", F.coalesce(F.sum("_range_n").over(before), F.lit(0)))
-    return ranged.join(F.broadcast(offsets), [*by, "_range"])
+    return ranged.join(offsets, [*by, "_range"])
 
 
 def _with_ranks(ranged: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -65,6 +65,36 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str = "value") -> DataF
         *by, value, F.col("_n").alias("copies"), "below", "n")
 
 
+def counted_percentiles(df: DataFrame, by: Sequence[str], value: str = "value",
+                        percents: Sequence[float] = PERCENTS) -> DataFrame:
+    """As :func:`percentiles` for values of few kinds, such as counts inside a grid.
+
+    Values are counted first, so that a group's task sees each kind once.
+    """
+    by = list(by)
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    entry = F.struct(F.col(value).alias("v"), F.col("_n").alias("n"))
+    return counts.groupBy(*by).agg(
+        F.sum("_n").alias("n"), (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("mean"),
+        F.sort_array(F.collect_list(entry)).alias("_kinds"),
+        F.min(value).alias("min"), F.max(value).alias("max"),
+    ).select(*by, "n", "mean", *[_at_rank(q).alias(f"p{q:g}") for q in percents], "min", "max")
+
+
+def _at_rank(percent: float) -> Column:
+    """Linearly interpolated percentile of sorted (value, count) kinds."""
+    rank = F.lit(percent / 100.0) * (F.col("n").cast("double") - 1)
+
+    def value_at(r: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("below"), F.lit(None).cast("double").alias("v"))
+        return F.aggregate("_kinds", start, lambda acc, k: F.struct(
+            (acc["below"] + k["n"]).alias("below"),
+            F.when(acc["below"] <= r, k["v"]).otherwise(acc["v"]).alias("v")))["v"]
+
+    low, high = value_at(F.floor(rank)), value_at(F.ceil(rank))
+    return low + (rank - F.floor(rank)) * (high - low)
+
+
 def percentiles(df: DataFrame, by: Sequence[str], value: str = "value",
                 percents: Sequence[float] = PERCENTS) -> DataFrame:
     """``(by…, n, mean, p<q>…, min, max)``, percentiles linearly interpolated."""

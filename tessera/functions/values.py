@@ -81,9 +81,5 @@ def grid_col(index: Column, width: int) -> Column:
     return (index % F.lit(width)).cast("int")
 
 
-def grid_index(row: Column, col: Column, width: int) -> Column:
-    return (row * F.lit(width) + col).cast("int")
-
-
 def half_even(value: Column, digits: int) -> Column:
     return F.bround(value, digits)

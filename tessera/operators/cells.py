@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions.lookups import join_by_key
-from tessera.functions.ordered import order_key
+from tessera.functions.ordered import rank_key
 from tessera.functions.timing import elapsed_micros, in_bins, time_bin
-from tessera.functions.values import present, present_or_null, reference_scaled
+from tessera.functions.values import from_number_text, present, present_or_null, reference_scaled
 from tessera.operators.link import TIEBREAK
 
 CELL_KEYS = ("hadm_id", "time_bin", "row", "col", "itemid")
@@ -36,7 +36,7 @@ def last_cells(placed: DataFrame, *, keys: Sequence[str] = CELL_KEYS,
     Two-phase aggregation: a hot admission is reduced to its cells before the shuffle.
     """
     return (placed.filter(present("valuenum")).groupBy(*keys)
-            .agg(F.max_by("valuenum", order_key("charttime", tiebreak)).cast("float")
+            .agg(F.max_by("valuenum", rank_key(placed, "charttime", tiebreak)).cast("float")
                  .alias("value")))
 
 
@@ -53,20 +53,21 @@ def count_cells(placed: DataFrame, *, keys: Sequence[str] = CELL_KEYS) -> DataFr
 
 
 def specimen_cells(events: DataFrame, layout: DataFrame, *, scaled: bool = False,
-                   specimens: DataFrame | None = None,
+                   specimens: DataFrame | None = None, text_column: str | None = None,
                    tiebreak: Sequence[str] = TIEBREAK) -> DataFrame:
     """``(specimen_id, row, col, itemid, value)``: the last row per place.
 
     Unlike in videos a later missing value clears an earlier one.  ``scaled`` uses the
     reference range.  All specimens are done in one job; ``specimens`` selects some.
+    ``text_column`` takes values from numbers written as text instead of ``valuenum``.
     """
     known = events.filter(F.col("specimen_id").isNotNull())
     if specimens is not None:
         known = join_by_key(known, specimens.select("specimen_id"), "specimen_id", "left_semi")
-    value = (reference_scaled(F.col("valuenum"), F.col("ref_range_lower"),
-                              F.col("ref_range_upper"))
-             if scaled else present_or_null("valuenum"))
+    number = F.col("valuenum") if text_column is None else from_number_text(text_column)
+    value = (reference_scaled(number, F.col("ref_range_lower"), F.col("ref_range_upper"))
+             if scaled else present_or_null(number))
     placed = known.join(F.broadcast(layout.select("itemid", "row", "col")), "itemid")
     return (placed.groupBy("specimen_id", "row", "col", "itemid")
-            .agg(F.max_by(value, order_key("charttime", tiebreak)).cast("float").alias("value"))
+            .agg(F.max_by(value, rank_key(placed, "charttime", tiebreak)).cast("float").alias("value"))
             .filter(F.col("value").isNotNull()))

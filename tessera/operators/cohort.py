@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.constants import MAX_SPECIMENS, WINDOW_HOURS
+from tessera.constants import WINDOW_HOURS
 from tessera.functions.counting import count_with_distincts
 from tessera.functions.lookups import join_by_key
 from tessera.functions.timing import in_first_hours, in_window
@@ -41,13 +41,13 @@ def subset_overview(subset: DataFrame, events: DataFrame) -> DataFrame:
 
 def in_window_ranking(events: DataFrame, *, window_hours: float = WINDOW_HOURS,
                       min_specimens: int | None = None, max_specimens: int | None = None,
-                      top: int | None = None) -> DataFrame:
-    """``(hadm_id, n_events, n_specimens)`` by events inside the observation window.
+                      top: int | None = None, anchor: str = "admittime") -> DataFrame:
+    """``(hadm_id, n_events, n_specimens)`` by events inside the window from ``anchor`` on.
 
     ``top`` keeps the admissions with most events.
     """
     inside = events.filter(F.col("hadm_id").isNotNull() & F.col("specimen_id").isNotNull()
-                           & in_window(window_hours))
+                           & in_window(window_hours, anchor=anchor))
     ranked = inside.groupBy("hadm_id").agg(
         F.count(F.lit(1)).alias("n_events"),
         F.countDistinct("specimen_id").alias("n_specimens"))
@@ -67,7 +67,7 @@ def top_admissions(events: DataFrame, *, top: int = 20, first_hours: int | None
         stay = stay.filter(in_first_hours(first_hours))
     counted = count_with_distincts(stay, "hadm_id",
                                    {"n_labs": "itemid", "n_specimens": "specimen_id"})
-    total = stay.agg(F.countDistinct("hadm_id").alias("n")).scalar()
+    total = counted.agg(F.count(F.lit(1)).alias("n")).scalar()
     return (counted.orderBy(F.desc("n_events"), "hadm_id").limit(top)
             .withColumn("total_admissions", total))
 
@@ -83,7 +83,3 @@ def combined_cohort(profile: DataFrame, *, min_specimens: int = 16, min_labs: in
 def keep_cohort(events: DataFrame, cohort: DataFrame) -> DataFrame:
     """Events of the cohort's admissions."""
     return join_by_key(events, cohort.select("hadm_id"), "hadm_id", "left_semi")
-
-
-def default_subset(events: DataFrame) -> DataFrame:
-    return specimens_per_admission(events, at_most=MAX_SPECIMENS)

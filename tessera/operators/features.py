@@ -30,8 +30,10 @@ def sliding_windows(events: DataFrame, layout: DataFrame, *, window_hours: int,
     inside = (events.filter(F.col("hadm_id").isNotNull() & after_anchor())
               .join(F.broadcast(layout.select("itemid", "row", "col")), "itemid")
               .withColumn("elapsed", elapsed_micros("charttime", "admittime")))
-    starts = F.sequence(first, F.floor(hours / stride))
-    repeated = inside.withColumn("_k", F.explode(starts)).withColumn(
+    last = F.floor(hours / stride)
+    # Between windows, with a stride above the window, an event falls into none.
+    inside = inside.filter(first <= last)
+    repeated = inside.withColumn("_k", F.explode(F.sequence(first, last))).withColumn(
         "window_start", (F.col("_k") * stride).cast("int")).drop("_k")
     since = F.col("elapsed") - F.col("window_start") * F.lit(MICROS_PER_HOUR)
     return repeated.withColumn(
@@ -65,9 +67,14 @@ def time_since_last(cells: DataFrame, *, n_bins: int, bin_hours: float) -> DataF
 
 
 def split_by_subject(df: DataFrame, *, buckets: int = 10, validation: Sequence[int] = (8,),
-                     test: Sequence[int] = (9,)) -> DataFrame:
-    """Add ``split``: all rows of a subject fall on the same side."""
-    bucket = F.pmod(F.col("subject_id"), F.lit(buckets))
+                     test: Sequence[int] = (9,), seed: int | None = 0) -> DataFrame:
+    """Add ``split``: all rows of a subject fall on the same side.
+
+    Subjects are dealt by a seeded hash, or with ``seed=None`` by the remainder of their id,
+    which is even only for ids without structure.
+    """
+    dealt = F.col("subject_id") if seed is None else F.xxhash64(F.lit(seed), "subject_id")
+    bucket = F.pmod(dealt, F.lit(buckets))
     return df.withColumn("split", F.when(bucket.isin(list(test)), "test")
                          .when(bucket.isin(list(validation)), "validation").otherwise("train"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.constants import LOOKBACK_HOURS
 from tessera.functions.lookups import join_by_key, lookup
-from tessera.functions.ordered import nearest_known, order_key, time_slice
+from tessera.functions.ordered import nearest_known, rank_key, time_slice
 from tessera.functions.timing import in_lookback
 
 TIEBREAK = ("event_id",)
@@ -36,7 +36,7 @@ def _fill_from_last(events: DataFrame, admissions: DataFrame, tiebreak: Sequence
     aggregate per subject instead of a window.  Rows of one admission collapse before
     admissions are joined, and events are joined with one row per subject.
     """
-    key = order_key("charttime", tiebreak)
+    key = rank_key(events, "charttime", tiebreak)
     stays = (events.filter(F.col("hadm_id").isNotNull())
              .groupBy("subject_id", "hadm_id").agg(F.max(key).alias("k")))
     known = stays.join(admissions.select("hadm_id", "admittime"), "hadm_id", "left")
@@ -59,9 +59,9 @@ def _fill_from_next(events: DataFrame, admissions: DataFrame, tiebreak: Sequence
     first = (events.filter(F.col("hadm_id").isNotNull())
              .groupBy("subject_id", "hadm_id",
                       time_slice(events, "charttime", tiebreak).alias("_slice"))
-             .agg(F.min(order_key("charttime", tiebreak)).alias("k"))
-             .select("subject_id", "hadm_id", F.col("k.at").alias("charttime"),
-                     *[F.col(f"k.tie{i}").alias(c) for i, c in enumerate(tiebreak)])
+             .agg(*[F.min_by(c, rank_key(events, "charttime", tiebreak)).alias(c)
+                    for c in ("charttime", *tiebreak)])
+             .drop("_slice")
              .join(admissions.select("hadm_id", "admittime"), "hadm_id", "left"))
     filled = nearest_known(
         attached, {"_admit_filled": "admittime", "_hadm_filled": "hadm_id"},
@@ -107,10 +107,3 @@ def link_events(events: DataFrame, admissions: DataFrame, *, vocabulary: DataFra
     if vocabulary is not None:
         linked = attach_labels(linked, vocabulary, spread_by=tiebreak)
     return linked
-
-
-def limit_subjects(events: DataFrame, n: int) -> DataFrame:
-    """Whole histories of the ``n`` lowest subject ids, for a trial run on request."""
-    ids = (events.filter(F.col("subject_id").isNotNull()).select("subject_id").distinct()
-           .orderBy("subject_id").limit(n))
-    return events.join(ids, "subject_id", "left_semi")

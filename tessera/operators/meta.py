@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tessera.functions.ordered import order_key
-from tessera.functions.quantiles import percentiles, stack
+from tessera.functions.ordered import rank_key
+from tessera.functions.quantiles import counted_percentiles, stack
 from tessera.functions.timing import MICROS_PER_HOUR, hour_label
 from tessera.functions.values import half_even, present_or_null
 from tessera.operators.link import TIEBREAK
@@ -17,6 +17,8 @@ MICROS_PER_MINUTE = 60_000_000.0
 
 def _frames_of(cohort: DataFrame, n_bins: int) -> DataFrame:
     """Every bin of every cohort member."""
+    if n_bins < 1:
+        raise ValueError("n_bins must be 1 at least")
     return cohort.select("hadm_id", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1)))
                          .alias("time_bin"))
 
@@ -29,7 +31,7 @@ def frame_metadata(placed: DataFrame, cohort: DataFrame, *, n_bins: int, n_cells
     specimens and times but fill no cell.
     """
     value = present_or_null("valuenum")
-    order = F.when(value.isNotNull(), order_key("charttime", tiebreak))
+    order = F.when(value.isNotNull(), rank_key(placed, "charttime", tiebreak))
     per_cell = placed.groupBy("hadm_id", "time_bin", "row", "col").agg(
         F.max_by("valuenum", order).cast("float").alias("value"),
         F.min("elapsed").alias("first"), F.max("elapsed").alias("last"))
@@ -50,6 +52,20 @@ def frame_metadata(placed: DataFrame, cohort: DataFrame, *, n_bins: int, n_cells
                     "value_min", "value_max"))
 
 
+def frame_members(placed: DataFrame) -> DataFrame:
+    """Long table ``(hadm_id, time_bin, kind, member)`` of what a frame merges.
+
+    ``kind`` is ``specimen`` (the id) or ``time`` (microseconds since time zero).  It holds
+    what the nested record lists, however long a stay is.
+    """
+    entries = F.array(
+        F.struct(F.lit("specimen").alias("kind"), F.col("specimen_id").cast("long").alias("member")),
+        F.struct(F.lit("time").alias("kind"), F.col("elapsed").cast("long").alias("member")))
+    return (placed.select("hadm_id", "time_bin", F.explode(entries).alias("e"))
+            .select("hadm_id", "time_bin", "e.kind", "e.member")
+            .filter(F.col("member").isNotNull()).distinct())
+
+
 def video_summary(placed: DataFrame, cells: DataFrame, cohort: DataFrame, *, n_bins: int,
                   n_cells: int) -> DataFrame:
     """Per admission: filled cells and frames, fill and density, distinct specimens."""
@@ -76,7 +92,8 @@ def run_summary(summary: DataFrame) -> DataFrame:
         "fill_pct": F.col("fill_pct"), "temporal_density_pct": F.col("temporal_density_pct"),
         "frames_with_data": F.col("frames_with_data"),
         "total_specimens_merged": F.col("total_specimens_merged")})
-    return percentiles(rows, ["metric"], percents=(50,)).select(
+    # Fill has at most T·H·W + 1 values, the others fewer: counts per value are small.
+    return counted_percentiles(rows, ["metric"], percents=(50,)).select(
         "metric", "n", "mean", F.col("p50").alias("median"))
 
 
@@ -90,7 +107,7 @@ def fill_timeline(frames: DataFrame, *, n_bins: int) -> DataFrame:
 def frame_fill_distribution(frames: DataFrame) -> DataFrame:
     """Distribution of the fill of frames that hold data."""
     rows = stack(frames.filter(F.col("n_cells_filled") > 0), {"fill_pct": F.col("fill_pct")})
-    return percentiles(rows, ["metric"])
+    return counted_percentiles(rows, ["metric"])
 
 
 def active_frames(frames: DataFrame, *, first: int = 12) -> DataFrame:

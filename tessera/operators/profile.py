@@ -11,7 +11,7 @@ from tessera.constants import (DURATION_BUCKETS, MIN_LABS_STEPS, MIN_SPECIMENS_S
 from tessera.functions.counting import count_with_distincts
 from tessera.functions.lookups import join_by_key
 from tessera.functions.ordered import nearest_known
-from tessera.functions.quantiles import percentiles, stack
+from tessera.functions.quantiles import counted_percentiles, percentiles, stack
 from tessera.functions.timing import span_hours
 from tessera.functions.values import percent
 from tessera.operators.grid import top_labs
@@ -85,9 +85,12 @@ def specimen_gaps(events: DataFrame) -> DataFrame:
 
 def subset_admission_stats(events: DataFrame, subset: DataFrame) -> DataFrame:
     """Admission profile of a subset that carries the subset's specimen count along."""
-    profile = admission_profile(events).drop("n_specimens")
-    return profile.join(subset, "hadm_id").select(
-        "hadm_id", "n_events", "n_labs", "n_specimens", "hours")
+    timed = events.filter(F.col("hadm_id").isNotNull() & F.col("charttime").isNotNull())
+    inside = join_by_key(timed, subset.select("hadm_id"), "hadm_id", "left_semi")
+    counted = count_with_distincts(inside, "hadm_id", {"n_labs": "itemid"}, time="charttime")
+    return counted.join(subset, "hadm_id").select(
+        "hadm_id", "n_events", "n_labs", "n_specimens",
+        span_hours(F.col("first_at"), F.col("last_at")).alias("hours"))
 
 
 def lab_coverage(events: DataFrame, subset: DataFrame | None = None) -> DataFrame:
@@ -113,31 +116,24 @@ def with_labels(per_lab: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def rich_specimens(events: DataFrame, *, top: int = 20, having_tensor: DataFrame | None = None
                    ) -> DataFrame:
-    """Specimens with most events.
-
-    With ``having_tensor`` the first 2·top are cut down to those with a stored tensor.
-    """
+    """Specimens with most events, with ``having_tensor`` among those with a stored tensor."""
     counted = (events.filter(F.col("specimen_id").isNotNull()).groupBy("specimen_id")
                .agg(F.count(F.lit(1)).alias("n_events"), F.countDistinct("itemid").alias("n_labs")))
     order = [F.desc("n_events"), F.col("specimen_id")]
-    if having_tensor is None:
-        return counted.orderBy(*order).limit(top)
-    best = counted.orderBy(*order).limit(2 * top)
-    kept = best.join(having_tensor.select("specimen_id"), "specimen_id", "left_semi")
-    return kept.orderBy(*order).limit(top)
+    if having_tensor is not None:
+        counted = join_by_key(counted, having_tensor.select("specimen_id"), "specimen_id", "left_semi")
+    return counted.orderBy(*order).limit(top)
 
 
-def distinct_specimens(events: DataFrame, *, limit: int | None = None) -> DataFrame:
+def distinct_specimens(events: DataFrame) -> DataFrame:
     """Specimen ids in ascending order."""
-    ids = (events.filter(F.col("specimen_id").isNotNull()).select("specimen_id").distinct()
-           .orderBy("specimen_id"))
-    return ids if limit is None else ids.limit(limit)
+    return (events.filter(F.col("specimen_id").isNotNull()).select("specimen_id").distinct()
+            .orderBy("specimen_id"))
 
 
-def _sweep(events: DataFrame, subset: DataFrame, unit: str, sizes: Sequence[int],
-           exclude: Sequence[int] = ()) -> DataFrame:
+def _sweep(events: DataFrame, subset: DataFrame, unit: str, sizes: Sequence[int]) -> DataFrame:
     """``(k, labs_in_grid, n_units)`` for all grid sizes in one pass over the events."""
-    ranked = top_labs(events, max(sizes), cohort=subset, exclude=exclude)
+    ranked = top_labs(events, max(sizes), cohort=subset)
     usable = events.filter(F.col("hadm_id").isNotNull() & F.col(unit).isNotNull())
     keys = list(dict.fromkeys(["hadm_id", unit]))
     in_grid = (usable.select(*keys, "itemid")
@@ -173,18 +169,22 @@ def grid_sweep(events: DataFrame, subset: DataFrame, *, unit: str = "specimen_id
 
 
 def duration_buckets(profile: DataFrame) -> DataFrame:
-    """Admissions, median specimens and median types per length of stay."""
+    """Admissions, median specimens and median types per length of stay, for every bucket."""
     bucket = F.lit(None).cast("string")
     for name, low, high in reversed(DURATION_BUCKETS):
         bucket = F.when((F.col("hours") >= low) & (F.col("hours") < high), name).otherwise(bucket)
     bucketed = profile.withColumn("bucket", bucket).filter(F.col("bucket").isNotNull())
     rows = stack(bucketed, {"specimens": F.col("n_specimens"), "labs": F.col("n_labs")},
                  keep=["bucket"])
-    medians = percentiles(rows, ["bucket", "metric"], percents=(50,))
-    return medians.groupBy("bucket").agg(
-        F.max("n").alias("n_admissions"),
+    medians = counted_percentiles(rows, ["bucket", "metric"], percents=(50,))
+    found = medians.groupBy("bucket").agg(
+        F.max("n").alias("n"),
         F.max(F.when(F.col("metric") == "specimens", F.col("p50"))).alias("median_specimens"),
         F.max(F.when(F.col("metric") == "labs", F.col("p50"))).alias("median_labs"))
+    names = F.array(*[F.lit(name) for name, _, _ in DURATION_BUCKETS])
+    every = profile.sparkSession.range(1).select(F.explode(names).alias("bucket"))
+    return every.join(found, "bucket", "left").select(
+        "bucket", F.coalesce("n", F.lit(0)).alias("n_admissions"), "median_specimens", "median_labs")
 
 
 def feasibility(profile: DataFrame, *, specimens: Sequence[int] = MIN_SPECIMENS_STEPS,
@@ -203,21 +203,27 @@ def feasibility(profile: DataFrame, *, specimens: Sequence[int] = MIN_SPECIMENS_
 
 def histogram(df: DataFrame, value: str, *, bins: int = 50, at_most: float | None = None,
               density: bool = False) -> DataFrame:
-    """Equal-width histogram between the smallest and largest value, last bin closed."""
+    """Equal-width histogram between the smallest and largest value, last bin closed.
+
+    Bins without a value count 0; without any value there are no bins.
+    """
     rows = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
     if at_most is not None:
         rows = rows.filter(F.col("v") <= at_most)
     ends = rows.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"),
                              F.count(F.lit(1)).alias("n")).alias("ends")).scalar()
     # A single repeated value is put in the middle of a range of width 1.
-    placed = rows.withColumn("e", ends).select("v", F.col("e.n").alias("n"), *[
+    span = [F.col("e.n").alias("n"), *[
         F.when(F.col("e.lo") == F.col("e.hi"), F.col(f"e.{side}") + shift)
         .otherwise(F.col(f"e.{side}")).alias(side)
-        for side, shift in (("lo", -0.5), ("hi", 0.5))])
+        for side, shift in (("lo", -0.5), ("hi", 0.5))]]
+    placed = rows.withColumn("e", ends).select("v", *span)
     width = (F.col("hi") - F.col("lo")) / bins
     number = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
-    counted = placed.groupBy(number.alias("bin"), "lo", "hi", "n").agg(
-        F.count(F.lit(1)).alias("count"))
+    filled = placed.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("filled"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).withColumn("e", ends)
+    counted = (every.filter(F.col("e.n") > 0).select("bin", *span).join(filled, "bin", "left")
+               .withColumn("count", F.coalesce("filled", F.lit(0))))
     low = F.col("lo") + F.col("bin") * width
     out = counted.select("bin", low.alias("bin_low"), (low + width).alias("bin_high"), "count",
                          (F.col("count") / (F.col("n") * width)).alias("density"))

@@ -69,7 +69,7 @@ def build_videos(events: DataFrame, vocabulary: DataFrame, *,
     layout = cut_lineage(grid.layout_for(ranked, vocabulary, shape))
     chosen = hadm_ids if hadm_ids is not None else cut_lineage(cohort.in_window_ranking(
         events, window_hours=window_hours, min_specimens=min_specimens,
-        max_specimens=max_specimens, top=top))
+        max_specimens=max_specimens, top=top, anchor=anchor))
     placed = cells.place_events(events, layout, n_bins=n_bins, bin_hours=bin_hours,
                                 cohort=chosen, anchor=anchor)
     last = cut_lineage(cells.last_cells(placed, tiebreak=tiebreak))
@@ -145,6 +145,33 @@ def normalise_tensors(tensors: DataFrame, layout: DataFrame, *, shape: tuple[int
     return dense, stats
 
 
+def step_profiles(steps: dict[str, DataFrame], *, keys: Sequence[str] = (
+        "subject_id", "hadm_id", "specimen_id", "itemid", "charttime", "valuenum"),
+        sizes: bool = False) -> DataFrame:
+    """One row per step, all of one schema: rows, columns and their names, nulls of key columns.
+
+    ``sizes`` adds files and megabytes of tables that were read from files.
+    """
+    parts = []
+    for name, df in steps.items():
+        held = [c for c in keys if c in df.columns]
+        nulls = F.map_from_arrays(
+            F.array(*[F.lit(c) for c in held]).cast("array<string>"),
+            F.array(*[F.count_if(F.col(c).isNull()) for c in held]).cast("array<bigint>"))
+        row = df.agg(F.count(F.lit(1)).alias("n_rows"), nulls.alias("nulls")).select(
+            F.lit(name).alias("step"), "n_rows", F.lit(len(df.columns)).alias("n_columns"),
+            F.array(*[F.lit(c) for c in df.columns]).alias("column_names"), "nulls")
+        if sizes:
+            on_disk = tables.dataset_size(df)
+            for c in ("n_files", "size_mb"):
+                row = row.withColumn(c, on_disk.select(c).scalar())
+        parts.append(row)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def step_profile(*, events: DataFrame | None = None, admissions: DataFrame | None = None,
                  linked: DataFrame | None = None, images: DataFrame | None = None
                  ) -> dict[str, DataFrame]:

@@ -218,15 +218,17 @@ def _sweep(source: str, subset: str, unit: str) -> str:
 
 
 def _histogram(rows: str, bins: int, density: bool) -> str:
-    extra = ", round(count(*) / (max(n) * max(w)), 6) AS density" if density else ""
+    extra = ", round(coalesce(filled, 0) / (n * w), 6) AS density" if density else ""
     return f"""
-        SELECT bin, round(max(lo) + bin * max(w), 6) AS bin_low,
-               round(max(lo) + bin * max(w) + max(w), 6) AS bin_high, count(*) AS count{extra}
-        FROM (SELECT *, CAST(least(floor((v - lo) / w), {bins - 1}) AS INTEGER) AS bin
-              FROM (SELECT v, lo, n, (hi - lo) / {bins} AS w
-                    FROM ({rows}) r, (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n
-                                      FROM ({rows}))))
-        GROUP BY bin"""
+        SELECT bin, round(lo + bin * w, 6) AS bin_low, round(lo + bin * w + w, 6) AS bin_high,
+               coalesce(filled, 0) AS count{extra}
+        FROM (SELECT CAST(unnest(range({bins})) AS INTEGER) AS bin) every
+        CROSS JOIN (SELECT min(v) AS lo, count(*) AS n, (max(v) - min(v)) / {bins} AS w
+                    FROM ({rows})) span
+        LEFT JOIN (SELECT CAST(least(floor((v - lo) / w), {bins - 1}) AS INTEGER) AS bin,
+                          count(*) AS filled
+                   FROM ({rows}) r, (SELECT min(v) AS lo, (max(v) - min(v)) / {bins} AS w
+                                     FROM ({rows})) GROUP BY 1) USING (bin)"""
 
 
 _TIMELINE = ", ".join(
@@ -541,10 +543,11 @@ MAIN: dict[str, str] = {
     "grid_sweep_frame": _sweep("ev0", "evsub", "specimen_id"),
     "grid_sweep_admission": _sweep("li", "lisub", "hadm_id"),
     "duration_buckets": f"""
-        SELECT {_BUCKETS} AS bucket, count(*) AS n_admissions,
+        SELECT bucket, count(hours) AS n_admissions,
                CAST(median(n_specimens) AS DOUBLE) AS median_specimens,
                CAST(median(n_labs) AS DOUBLE) AS median_labs
-        FROM liprof GROUP BY 1""",
+        FROM (SELECT {_BUCKETS} AS bucket FROM (SELECT unnest([0, 24, 72, 168, 336]) AS hours)) every
+        LEFT JOIN (SELECT *, {_BUCKETS} AS bucket FROM liprof) USING (bucket) GROUP BY 1""",
     "feasibility": " UNION ALL ".join(f"""
         SELECT '{c}' AS metric, {n} AS at_least, count(*) FILTER ({c} >= {n}) AS n_admissions,
                round(100.0::DOUBLE * count(*) FILTER ({c} >= {n}) / count(*), 6) AS pct
@@ -558,6 +561,71 @@ MAIN: dict[str, str] = {
         + ", ".join(f"""
                count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS {c}_unique"""
                     for c in ("subject_id", "hadm_id", "specimen_id")) + " FROM eblast",
+    "rich_specimens_stored": """
+        SELECT specimen_id, count(*) AS n_events, count(DISTINCT itemid) AS n_labs FROM ev0
+        WHERE specimen_id % 2 = 1
+        GROUP BY specimen_id ORDER BY n_events DESC, specimen_id LIMIT 20""",
+    "frame_members": """
+        SELECT DISTINCT hadm_id, time_bin, 'specimen' AS kind, specimen_id AS member FROM placed
+        WHERE specimen_id IS NOT NULL
+        UNION ALL SELECT DISTINCT hadm_id, time_bin, 'time', elapsed FROM placed""",
+    "sliding_windows_sparse": """
+        SELECT hadm_id, window_start, time_bin, row, col,
+               CAST(CAST(arg_max(valuenum, (charttime, event_id)) AS FLOAT) AS DOUBLE) AS value
+        FROM (SELECT e.*, row, col, CAST(w.s AS INTEGER) AS window_start,
+                     CAST(floor((elapsed - w.s * 3.6e9) / (10 * 3.6e9)) AS INTEGER) AS time_bin
+              FROM ev e JOIN layout USING (itemid)
+              JOIN (SELECT i * 120 AS s FROM range(10) r(i)) w
+                   ON elapsed >= w.s * 3.6e9 AND elapsed < (w.s + 60) * 3.6e9
+              WHERE charttime >= admittime AND valuenum IS NOT NULL)
+        GROUP BY hadm_id, window_start, time_bin, row, col""",
+    "binned_48h": """
+        SELECT hadm_id, CAST(floor(elapsed / (2 * 3.6e9)) AS INTEGER) AS time_bin, row, col,
+               CAST(itemid AS BIGINT) AS itemid,
+               CAST(CAST(arg_max(valuenum, (charttime, event_id)) AS FLOAT) AS DOUBLE) AS value
+        FROM ev JOIN layout USING (itemid)
+        WHERE charttime >= admittime AND elapsed / (2 * 3.6e9) < 24 AND valuenum IS NOT NULL
+        GROUP BY 1, 2, 3, 4, 5""",
+    "binned_mean_wide": """
+        SELECT hadm_id, CAST(floor(elapsed / (2160 * 3.6e9)) AS INTEGER) AS time_bin, itemid,
+               CAST(CAST(avg(valuenum) AS FLOAT) AS DOUBLE) AS value
+        FROM li
+        WHERE charttime >= admittime AND elapsed / (2160 * 3.6e9) < 24 AND valuenum IS NOT NULL
+        GROUP BY 1, 2, 3""",
+    "binned_other_anchor": """
+        SELECT hadm_id, CAST(floor(since / (30 * 3.6e9)) AS INTEGER) AS time_bin, row, col,
+               CAST(itemid AS BIGINT) AS itemid,
+               CAST(CAST(arg_max(valuenum, (charttime, event_id)) AS FLOAT) AS DOUBLE) AS value
+        FROM (SELECT *, elapsed - 24 * 3.6e9 AS since FROM ev) JOIN layout USING (itemid)
+        WHERE since >= 0 AND since / (30 * 3.6e9) < 24 AND valuenum IS NOT NULL
+        GROUP BY 1, 2, 3, 4, 5""",
+    "norm_train_only": """
+        SELECT g.row, g.col, CAST(l.itemid AS BIGINT) AS itemid, round(coalesce(m, 0), 6) AS mean,
+               round(CASE WHEN s >= 1e-8 THEN s ELSE 1 END, 6) AS std, coalesce(n, 0) AS count
+        FROM (SELECT CAST(i // 8 AS INTEGER) AS row, CAST(i % 8 AS INTEGER) AS col
+              FROM range(64) r(i)) g
+        LEFT JOIN layout l ON l.row = g.row AND l.col = g.col
+        LEFT JOIN (SELECT row, col, avg(x) AS m, stddev_samp(x) AS s, count(*) AS n
+                   FROM logged WHERE x IS NOT NULL AND hadm_id % 4 <> 0 GROUP BY row, col) f
+             ON f.row = g.row AND f.col = g.col""",
+    "specimen_from_text": """
+        SELECT * FROM (
+            SELECT specimen_id, row, col, CAST(itemid AS BIGINT) AS itemid,
+                   CAST(CAST(max((charttime, event_id,
+                       CASE WHEN event_id % 4 <> 0 THEN CAST(event_id AS DOUBLE) END))[3] AS FLOAT)
+                       AS DOUBLE) AS value
+            FROM ev0 JOIN imglayout USING (itemid)
+            GROUP BY specimen_id, row, col, itemid) WHERE value IS NOT NULL""",
+    "step_profiles": """
+        SELECT 'lab_parquet' AS step, count(*) AS n_rows,
+               count(*) FILTER (hadm_id IS NULL) AS hadm_id_nulls,
+               count(*) FILTER (specimen_id IS NULL) AS specimen_id_nulls,
+               count(*) FILTER (valuenum IS NULL) AS valuenum_nulls,
+               count(*) FILTER (charttime IS NULL) AS charttime_nulls FROM ev0
+        UNION ALL
+        SELECT 'lab_with_adm', count(*), count(*) FILTER (hadm_id IS NULL),
+               count(*) FILTER (specimen_id IS NULL), count(*) FILTER (valuenum IS NULL),
+               count(*) FILTER (charttime IS NULL) FROM eblast""",
 }
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tessera.constants import NULL_TOKENS
 from tessera.functions.lookups import join_by_key
-from tessera.functions.timing import (elapsed_hours, elapsed_micros, epoch_micros, in_window,
+from tessera.functions.timing import (elapsed_hours, elapsed_micros, epoch_micros, in_bins, in_window,
                                       time_bin)
 from tessera.functions.values import from_number_text, reference_scaled, zlog_scaled
 from tessera.operators import (cells, cohort, features, grid, link, meta, normalize, profile,
                                tensor)
+from tessera.plans import jobs
 from tessera.session import configure
 from tessera.sources import tables, text, views as v
 
@@ -579,7 +580,7 @@ def sliding_windows(s, d):
 
 @query
 def subject_split(s, d):
-    return features.split_by_subject(v.ev_raw(s, d)).groupBy("split").agg(
+    return features.split_by_subject(v.ev_raw(s, d), seed=None).groupBy("split").agg(
         F.countDistinct("subject_id").alias("n_subjects"), F.count(F.lit(1)).alias("n_events"))
 
 
@@ -706,3 +707,83 @@ def table_profile(s, d):
         unique_columns=("subject_id", "hadm_id", "specimen_id"))
     rounded = [six(c) if c.endswith("_pct") else F.col(c) for c in out.columns]
     return out.select(*rounded)
+
+
+# -- other windows, views and selections --------------------------------------------------
+
+
+@query
+def rich_specimens_stored(s, d):
+    """Among specimens with a stored image, here those with an odd id."""
+    stored = profile.distinct_specimens(v.ev_raw(s, d)).filter(F.col("specimen_id") % 2 == 1)
+    return profile.rich_specimens(v.ev_raw(s, d), having_tensor=stored)
+
+
+@query
+def frame_members(s, d):
+    return meta.frame_members(ev_placed(s, d))
+
+
+@query
+def sliding_windows_sparse(s, d):
+    """Windows shorter than their stride: events between them fall into none."""
+    placed = features.sliding_windows(v.ev(s, d), ev_layout(s, d), window_hours=60,
+                                      stride_hours=120, bin_hours=10)
+    keys = ("hadm_id", "window_start", "time_bin", "row", "col")
+    return cells.last_cells(placed, keys=keys).select(
+        *keys, F.col("value").cast("double").alias("value"))
+
+
+@query
+def binned_48h(s, d):
+    """The alternative schema of 48 hours in bins of two."""
+    placed = cells.place_events(v.ev(s, d), ev_layout(s, d), n_bins=24, bin_hours=2)
+    return cells.last_cells(placed).select("hadm_id", "time_bin", "row", "col", whole("itemid"),
+                                           F.col("value").cast("double").alias("value"))
+
+
+@query
+def binned_mean_wide(s, d):
+    """A wide vocabulary with many short stays: mean per bin and type without a grid."""
+    inside = v.li(s, d).filter(F.col("hadm_id").isNotNull() & in_bins(v.LI_BINS, v.LI_BIN_HOURS))
+    placed = inside.withColumn("time_bin", time_bin(v.LI_BIN_HOURS))
+    return cells.mean_cells(placed, keys=("hadm_id", "time_bin", "itemid")).select(
+        "hadm_id", "time_bin", whole("itemid"), F.col("value").cast("double").alias("value"))
+
+
+@query
+def binned_other_anchor(s, d):
+    """Time zero a day after admission, for the cohort as for the cells."""
+    later = v.ev(s, d).withColumn("anchor", F.col("admittime") + F.expr("INTERVAL 1 DAY"))
+    chosen = cohort.in_window_ranking(later, window_hours=v.EV_WINDOW_HOURS, anchor="anchor")
+    placed = cells.place_events(later, ev_layout(s, d), n_bins=v.EV_BINS,
+                                bin_hours=v.EV_BIN_HOURS, cohort=chosen, anchor="anchor")
+    return cells.last_cells(placed).select("hadm_id", "time_bin", "row", "col", whole("itemid"),
+                                           F.col("value").cast("double").alias("value"))
+
+
+@query
+def norm_train_only(s, d):
+    """Channel statistics fitted on three quarters of the stays."""
+    train = ev_cohort(s, d).filter(F.col("hadm_id") % 4 != 0)
+    fitted = ev_stats(s, d, cohort.keep_cohort(ev_cells(s, d), train))
+    return fitted.select("row", "col", whole("itemid"), six("mean"), six("std"), "count")
+
+
+@query
+def specimen_from_text(s, d):
+    """Image cells from result texts; every fourth text is no number."""
+    said = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit(">"), F.col("event_id"))).otherwise(
+        F.col("event_id").cast("string"))
+    out = cells.specimen_cells(v.ev_raw(s, d).withColumn("value", said), ev_image_layout(s, d),
+                               text_column="value")
+    return out.select("specimen_id", "row", "col", whole("itemid"),
+                      F.col("value").cast("double").alias("value"))
+
+
+@query
+def step_profiles(s, d):
+    out = jobs.step_profiles({"lab_parquet": v.ev_raw(s, d), "lab_with_adm": eb_linked(s, d)})
+    return out.select("step", "n_rows", *[
+        F.coalesce(F.col("nulls")[c], F.lit(-1)).alias(f"{c}_nulls")
+        for c in ("hadm_id", "specimen_id", "valuenum", "charttime")])

@@ -19,12 +19,19 @@ def write_layout(layout: DataFrame, path: str) -> None:
 
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
     """Layout as JSON lines or as one JSON array."""
-    return spark.read.schema(LAYOUT).json(path, multiLine=_is_single_document(spark, path))
+    return _read_json(spark, path, LAYOUT)
 
 
-def _is_single_document(spark: SparkSession, path: str) -> bool:
-    first = spark.read.text(path).limit(1).first()
-    return bool(first) and first[0].strip() in ("[", "{")
+def _read_json(spark: SparkSession, path: str, schema) -> DataFrame:
+    """JSON lines or whole documents of a schema; what fits neither fails.
+
+    A line that is a whole record marks JSON lines; anything else that opens the file is the
+    start of a document that spans lines, or of an array.
+    """
+    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).first()
+    opening = first[0].strip() if first else ""
+    lines = opening.startswith("{") and opening.endswith("}")
+    return spark.read.schema(schema).json(path, multiLine=not lines, mode="FAILFAST")
 
 
 def read_stats_report(spark: SparkSession, path: str) -> DataFrame:
@@ -32,5 +39,5 @@ def read_stats_report(spark: SparkSession, path: str) -> DataFrame:
 
     Saved means and deviations are rounded; use the Parquet table for full precision.
     """
-    saved = spark.read.schema(STATS_REPORT).json(path, multiLine=_is_single_document(spark, path))
+    saved = _read_json(spark, path, STATS_REPORT)
     return saved.select(F.explode("labs").alias("lab")).select("lab.*")

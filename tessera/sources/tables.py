@@ -39,10 +39,11 @@ def tensor_ids(tensors: DataFrame, id_col: str) -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists on whatever file system it names."""
+    """Whether a path, or anything that a glob matches, is there on the file system it names."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.exists(hadoop_path)
+    found = files.globStatus(hadoop_path)
+    return found is not None and len(found) > 0
 
 
 def read_events(spark: SparkSession, *, linked: str | None, raw: str) -> DataFrame:

@@ -14,40 +14,54 @@ def typed(text: DataFrame, schema: T.StructType, *, null_tokens: Iterable[str] =
           ) -> DataFrame:
     """All-string columns to the schema's types.
 
-    The CSV reader knows one null token only, hence this step.  The casts are strict:
-    a value that is neither a token nor of the type fails the job.
+    The CSV reader knows one null token only, hence this step.  A value that is neither a
+    token nor of the type fails the job, whether or not the session casts strictly.
     """
     tokens = list(null_tokens)
-    return text.select(*[
-        F.when(~F.col(f.name).isin(tokens), F.col(f.name)).cast(f.dataType).alias(f.name)
-        for f in schema.fields
-    ])
+
+    def strict(f: T.StructField):
+        known = F.when(~F.col(f.name).isin(tokens), F.col(f.name))
+        value = known.try_cast(f.dataType)
+        message = F.concat(F.lit(f"column {f.name}: not of type {f.dataType.simpleString()}: "), known)
+        return F.when(known.isNotNull() & value.isNull(), F.raise_error(message)
+                      .cast(f.dataType)).otherwise(value).alias(f.name)
+
+    return text.select(*[strict(f) for f in schema.fields])
+
+
+#: How the hospital's files are written: quotes inside quotes are doubled.
+CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "FAILFAST", "nullValue": ""}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, *,
-             columns: Sequence[str] | None = None) -> DataFrame:
+             columns: Sequence[str] | None = None, line_breaks: bool = False) -> DataFrame:
     """Read a CSV with header, failing on a malformed row.
 
     ``schema`` gives the types of known columns; further columns of the file are kept as
-    text.  With ``columns`` only those are kept, and only those are parsed.
+    text.  With ``columns`` only those are kept; rows are still checked whole.  A file of a
+    folder whose header differs in names or order fails.  ``line_breaks`` allows them inside
+    quotes, for which a file has to be read by one task.
     """
-    header = spark.read.csv(path, header=True).columns
+    options = {**CSV_OPTIONS, "header": True, "multiLine": line_breaks}
+    header = spark.read.csv(path, **options).columns
     types = {f.name: f for f in schema.fields}
     raw = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    text = spark.read.schema(raw).csv(path, header=True, mode="FAILFAST", nullValue="")
+    # Without pruning the parser checks fields that no column asks for, too.
+    text = (spark.read.schema(raw).option("columnPruning", False)
+            .csv(path, enforceSchema=False, **options))
     wanted = list(columns) if columns is not None else header
     target = T.StructType([types.get(c, T.StructField(c, T.StringType())) for c in wanted])
     return typed(text, target)
 
 
-def read_events_csv(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, EVENTS)
+def read_events_csv(spark: SparkSession, path: str, *, line_breaks: bool = False) -> DataFrame:
+    return read_csv(spark, path, EVENTS, line_breaks=line_breaks)
 
 
-def read_admissions_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_admissions_csv(spark: SparkSession, path: str, *, line_breaks: bool = False) -> DataFrame:
     """The five columns that linking uses or carries."""
-    return read_csv(spark, path, ADMISSIONS, columns=ADMISSIONS.fieldNames())
+    return read_csv(spark, path, ADMISSIONS, columns=ADMISSIONS.fieldNames(), line_breaks=line_breaks)
 
 
-def read_vocabulary_csv(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, VOCABULARY)
+def read_vocabulary_csv(spark: SparkSession, path: str, *, line_breaks: bool = False) -> DataFrame:
+    return read_csv(spark, path, VOCABULARY, line_breaks=line_breaks)

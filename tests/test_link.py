@@ -113,8 +113,3 @@ def test_hot_subject_equals_brute_force(spark, policy, untimed, monkeypatch):
 def test_default_policy_has_no_window(micro):
     plan = link.link_events(*micro)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
-
-
-def test_limit_subjects_keeps_whole_histories(spark):
-    df = spark.range(40).select(F.col("id"), (F.col("id") % 4).alias("subject_id"))
-    assert rows(link.limit_subjects(df, 2).groupBy("subject_id").count()) == [(0, 10), (1, 10)]

@@ -96,3 +96,9 @@ def test_lookup_keeps_every_row(spark):
     events = views.eb(spark, SF)
     out = lookup(events, views.eb_admissions(spark, SF), "hadm_id", spread_by=("event_id",))
     assert out.count() == events.count()
+
+
+@pytest.mark.parametrize("name", ["binned_last_value", "frame_metadata", "specimen_cells",
+                                  "link_events", "specimen_gaps", "backfill_hadm_next"])
+def test_ordered_aggregates_hash_and_do_not_sort(spark, name):
+    assert "SortAggregate" not in plan_of(q.QUERIES[name](spark, SF))
