@@ -22,7 +22,7 @@ def typed(text: DataFrame, schema: T.StructType, *, null_tokens: Iterable[str] =
     def strict(f: T.StructField):
         known = F.when(~F.col(f.name).isin(tokens), F.col(f.name))
         value = known.try_cast(f.dataType)
-        message = F.concat(F.lit(f"column {f.name}: not of type {f.dataType.simpleString()}: "), known)
+        message = F.concat(F.lit(f"CAST_INVALID_INPUT, column {f.name}: not of type {f.dataType.simpleString()}: "), known)
         return F.when(known.isNotNull() & value.isNull(), F.raise_error(message)
                       .cast(f.dataType)).otherwise(value).alias(f.name)
 

@@ -118,7 +118,7 @@ def test_histogram_equals_numpy(spark, data, bins, top):
     out = profile.histogram(df, "v", bins=bins, at_most=top, density=True)
     got = {r["bin"]: r for r in out.collect()}
     assert {b: r["count"] for b, r in got.items()} == {
-        i: int(n) for i, n in enumerate(count) if n}
+        i: int(n) for i, n in enumerate(count)}
     for b, r in got.items():
         assert r["bin_low"] == pytest.approx(edges[b])
         assert r["density"] == pytest.approx(density[b])
