@@ -163,7 +163,7 @@ class Scorer:
 
     def features(self, text: str) -> list[float]:
         found = self.weights(text)
-        return [*(float(p in found) for p in PATTERNS), *(min(found.get(p, 0.0), 12.0) for p in PATTERNS),
+        return [*(float(p in found) for p in PATTERNS), *(min(found.get(p, 0.0), 40.0) for p in PATTERNS),
                 math.log2(1 + text.count(" ")) if found else 0.0]
 
 
@@ -198,6 +198,20 @@ def stem_statistics(sample: DataFrame, *, longest: int = 12) -> DataFrame:
         F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.sum("contexts").alias("contexts"))
 
 
+def one_of_each(sample: DataFrame) -> DataFrame:
+    """Of rows that agree in the least hash of their three-word shingles the one of least id.
+
+    Copies of a text fall together as often as they are alike; what they repeat is no evidence.
+    """
+    w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
+    rows = sample.select("doc_id", w.alias("w")).select("doc_id", F.array_min(F.transform(
+        F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, 1 << 30).alias("b"), F.slice("w", 3, 1 << 30).alias("c")),
+        lambda s: F.xxhash64(s["a"], s["b"], s["c"]))).alias("m"))
+    first = rows.filter(F.col("m").isNotNull()).groupBy("m").agg(F.min("doc_id").alias("doc_id"))
+    # As many rows at most as the sample.
+    return sample.join(F.broadcast(first.select("doc_id")), "doc_id", "left_semi")
+
+
 def choose_stems(known: dict[str, int], branch: float = 0.5) -> list[str]:
     """Of candidate stems and their counts keep those at which words branch out into endings."""
     children: dict[str, list[str]] = {}
@@ -214,14 +228,16 @@ def choose_stems(known: dict[str, int], branch: float = 0.5) -> list[str]:
     return sorted(chosen)
 
 
-def learn_lexicon(sample: DataFrame, *, min_contexts: int = 5, min_ratio: float = 8.0,
-                  min_z: float = 8.0, most: int = 5_000) -> tuple[tuple[str, float], ...]:
+def learn_lexicon(sample: DataFrame, *, min_contexts: int = 5, context_share: float = 0.4,
+                  min_ratio: float = 8.0, min_z: float = 8.0, most: int = 5_000) -> tuple[tuple[str, float], ...]:
     """Stems far likelier in rows of label 1, and their endings that are not, with log odds.
 
-    A candidate has ``min_contexts`` different words before it, is ``min_ratio`` times likelier
-    under label 1 and ``min_z`` standard deviations above chance; of more than ``most`` those
-    with the most contexts stay.
+    A candidate has ``min_contexts`` different words before it and as many as ``context_share``
+    of its rows, is ``min_ratio`` times likelier under label 1 and ``min_z`` standard deviations
+    above chance; of more than ``most`` those with the most contexts stay.  Of near copies in the
+    sample one is read.
     """
+    sample = materialize(one_of_each(sample))
     totals = sample.agg(F.sum("label"), F.count("*")).first()
     positive, rows = totals[0] or 0, totals[1]
     if not 0 < positive < rows:
@@ -234,7 +250,8 @@ def learn_lexicon(sample: DataFrame, *, min_contexts: int = 5, min_ratio: float
     # Read twice below; beginnings of fewer than five rows serve neither time.
     table = materialize(table.filter("n >= 5").select(
         "stem", "pos", "n", "contexts", odds.alias("odds"), z.alias("z")))
-    found = (table.filter((F.col("contexts") >= min_contexts) & (F.col("odds") >= float(np.log(min_ratio)))
+    found = (table.filter((F.col("contexts") >= F.greatest(F.lit(min_contexts), context_share * F.col("pos")))
+                          & (F.col("odds") >= float(np.log(min_ratio)))
                           & (F.col("z") >= min_z))
              .orderBy(F.desc("contexts"), "stem").limit(most).collect())
     stems = choose_stems({r.stem: r.pos for r in found})
