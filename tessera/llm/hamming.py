@@ -12,7 +12,6 @@ and the block answers are merged.
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -83,13 +82,17 @@ class BlockIndex:
             met = [self._met(t, v[active], radius) for t, (v, _) in zip(self.tables, parts)]
             query = active[np.concatenate([q for q, _ in met])]
             entry = np.concatenate([e for _, e in met])
-            pair = np.unique(query * len(self.codes) + entry)
-            query, entry = pair // len(self.codes), pair % len(self.codes)
             far = np.bitwise_count(queries[query] ^ self.codes[entry]).sum(axis=1, dtype=np.int64)
             query, entry, far = (np.concatenate(x) for x in zip(best, (query, entry, far)))
+            # Every segment and an earlier round may have met an entry, so the kth distance is
+            # at most where this many pairs are reached; only pairs up to there are sorted.
+            met_at = np.bincount(query * (self.bits + 1) + far, minlength=len(queries) * (self.bits + 1))
+            reached = np.cumsum(met_at.reshape(len(queries), -1), axis=1) >= need * (self.segments + 1)
+            limit = np.where(reached.any(axis=1), reached.argmax(axis=1), self.bits)
+            near = far <= limit[query]
+            query, entry, far = query[near], entry[near], far[near]
             order = np.lexsort((entry, self.least_id[entry], far, query))
             query, entry, far = query[order], entry[order], far[order]
-            # A pair may have been met in an earlier round through another segment.
             new = np.ones(len(query), bool)
             new[1:] = (query[1:] != query[:-1]) | (entry[1:] != entry[:-1])
             query, entry, far = query[new], entry[new], far[new]
@@ -116,7 +119,7 @@ def _first(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
 
 
 def search(items: DataFrame, queries: DataFrame, *, id_column: str = "vec_id", vector: str = "embedding",
-           k: int = 10, bits: int = 64, block_entries: int = 1 << 18, chunk_queries: int = 1 << 19) -> DataFrame:
+           k: int = 10, bits: int = 64, block_entries: int = 1 << 18, chunk_queries: int = 1 << 19, segment_bits: int = 16) -> DataFrame:
     """Rows (id, neighbour, distance, rank): the k nearest items of each query by (distance,
     neighbour), the query's own row among them; all items if there are fewer than k.
 
@@ -136,9 +139,9 @@ def search(items: DataFrame, queries: DataFrame, *, id_column: str = "vec_id", v
     codes = asked.select(F.col("code").alias("q")).distinct()
     number, asking = entries.count(), codes.count()
     # Every task has a block; blocks are bounded, and a small index is dealt to all tasks.
-    blocks = max(-(-number // block_entries), min(shuffle_partitions(spark), -(-number // 2048)), 1)
+    blocks = max(-(-number // block_entries), min(shuffle_partitions(spark), -(-number // 8192)), 1)
     chunks = max(-(-asking // chunk_queries), 1)
-    segments = max(1, round(bits / max(8.0, math.log2(number / blocks + 2))))
+    segments = max(1, round(bits / segment_bits))
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
