@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,12 +65,13 @@ def large_binary(column: pa.Array) -> pa.Array:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts together have at most ``limit`` bytes; a longer text stands alone."""
+    """Runs of at most ``SLICE_ROWS`` rows whose texts together have at most ``limit`` bytes; a
+    longer text stands alone."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total = np.concatenate(([0], np.cumsum(lengths.astype(np.int64))))
     at, rows = 0, batch.num_rows
     while at < rows:
         end = int(np.searchsorted(total, total[at] + limit, side="right")) - 1
-        end = min(max(end, at + 1), rows)
+        end = min(max(end, at + 1), at + SLICE_ROWS, rows)
         yield batch.slice(at, end - at)
         at = end

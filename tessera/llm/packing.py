@@ -35,7 +35,7 @@ class WordTokenizer:
     which they act alike in any Unicode version; other texts go through the library whole.
     """
 
-    def __init__(self, path: str, cache: int = 400_000) -> None:
+    def __init__(self, path: str, cache: int = 200_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
