@@ -1,11 +1,14 @@
 """Near duplicates by ProbMinHash, banding and exact verification (operator 3).
 
-Shingles are five consecutive words, weighted by 1 + ln of their count.  Every shingle is a
-Poisson process of its weight's rate whose arrivals fall on random registers; a register keeps
-the shingle of its first arrival.  A text's processes end once the next arrival is later than
-every register's.  Two signatures agree in a register with the probability Jaccard similarity
-of the weighted shingles.  Bands of registers give candidates; candidates are verified by the
-exact Jaccard similarity of their sets of shingles, and linked texts form classes.
+Shingles are five consecutive words.  Every shingle is a Poisson process of its weight's rate
+whose arrivals fall on random registers; a register keeps the shingle of its first arrival.  A
+text's processes end once the next arrival is later than every register's.  Two signatures agree
+in a register with the probability Jaccard similarity of the weighted shingles.  Bands of
+registers give candidates; candidates are verified by the exact Jaccard similarity of their sets
+of shingles, and linked texts form classes.
+
+Links are those of sets, so sketch and bands come from signatures of weight one.  Texts that
+repeat a shingle have the bands of weights 1 + ln of the count as well, for more candidates.
 """
 
 from __future__ import annotations
@@ -104,7 +107,11 @@ def _per_text(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 
 def fingerprints(documents: DataFrame, id_column: str, text: str, *, bands: int = BANDS,
                  rows: int = ROWS, registers: int = REGISTERS) -> DataFrame:
-    """Per text: 128 bits that name its set of shingles, the set's size, its band keys and sketch."""
+    """Per text: 128 bits that name its set of shingles, the set's size, its band keys and sketch.
+
+    Without repeated shingles both weights give the same bands, so only texts with some have
+    more than ``bands`` keys.
+    """
     if registers % 16 or registers < bands * rows:
         raise ValueError("registers must fill words of sixteen and all bands")
 
@@ -115,16 +122,26 @@ def fingerprints(documents: DataFrame, id_column: str, text: str, *, bands: int
                 found = W.words(*W.buffers(part.column(text)))
                 gram, count, owner = shingles(found.hashes(), found.first)
                 size = np.bincount(owner, minlength=n)
-                signature = signatures(gram, 1 + np.log(count), owner, n, registers)
+                signature = signatures(gram, np.ones(len(gram)), owner, n, registers)
                 keys = band_keys(signature, bands, rows)
+                repeating = np.bincount(owner[count > 1], minlength=n) > 0
+                some = repeating[owner]
+                weighted = band_keys(signatures(
+                    gram[some], 1 + np.log(count[some]), (np.cumsum(repeating) - 1)[owner[some]],
+                    int(repeating.sum()), registers), bands, rows)
+                # Both for every text, then without the weighted ones that add nothing.
+                keys = np.concatenate((keys, keys), axis=1)
+                keys[repeating, bands:] = weighted
+                new = np.ones(keys.shape, bool)
+                new[:, bands:] = keys[:, bands:] != keys[:, :bands]
+                ends = np.concatenate(([0], np.cumsum(new.sum(axis=1)))).astype(np.int32)
                 sketch = sketches(signature)
                 wide = np.arange(n + 1, dtype=np.int32) * sketch.shape[1]
                 names = [_per_text(W.mix(gram ^ np.uint64(salt)), owner, n) for salt in (0x51ED27, 0x7A3B19C5)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(id_column), *(pa.array(x.view(np.int64)) for x in names),
                      pa.array(size.astype(np.int32)),
-                     pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * bands,
-                                              pa.array(keys.ravel().view(np.int64))),
+                     pa.ListArray.from_arrays(ends, pa.array(keys[new].view(np.int64))),
                      pa.ListArray.from_arrays(wide, pa.array(sketch.ravel().view(np.int64)))],
                     names=[id_column, "set1", "set2", "size", "keys", "sketch"])
 
@@ -209,7 +226,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
     In each bucket of the others a few pivots, the same in every bucket that they share, are
     compared with all members; this links most of a large group in linear work.  Pairs that are
     still in different components are then taken where a cheap sketch allows a similarity of
-    0.8, each in the first bucket it shares.  All links are verified exactly.
+    0.8, each in the least bucket it shares.  All links are verified exactly.
 
     Null and empty texts have no shingles and stay alone; a text of one to four words is one
     shingle.  Rows without an id have no class.  Rows that repeat an id are one vertex.
@@ -221,9 +238,9 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
     classes = materialize(known.groupBy("set1", "set2", "size").agg(
         F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"), F.min_by("sketch", "id").alias("sketch")))
 
-    spread = classes.select("rep", F.posexplode("keys").alias("band", "key"))
+    spread = classes.select("rep", F.explode("keys").alias("key"))
     buckets = spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialize(join_by_key(spread, buckets, "key").select("key", "band", "rep"))
+    members = materialize(join_by_key(spread, buckets, "key").select("key", "rep"))
     # Pivots are the members of the least hash under a few seeds.
     chosen = members.select("key", "rep", *[F.xxhash64("rep", F.lit(i)).alias(f"h{i}") for i in range(pivots)])
     chosen = chosen.groupBy("key").agg(F.array_distinct(F.array(
@@ -245,7 +262,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
     first = components(linked)
 
     placed = (members.join(first, F.col("rep") == F.col("v"), "left")
-              .select("key", "band", "rep", F.coalesce("c", "rep").alias("c")))
+              .select("key", "rep", F.coalesce("c", "rep").alias("c")))
     counted = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
     main = (counted.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("cs"))
             .filter("cs > 1").select("key", "main"))
@@ -253,13 +270,13 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
         classes.select("rep", "size", "keys", "sketch"), "rep"))
     x = mixed.filter("c != main").select(*[F.col(c).alias(f"x_{c}") for c in mixed.columns])
     y = mixed
-    first_shared = F.array_position(F.zip_with("x_keys", "keys", lambda p, q: p == q), True) - 1
+    least_shared = F.array_min(F.array_intersect("x_keys", "keys"))
     rest = x.join(
         y, (F.col("x_key") == F.col("key")) & (F.col("x_c") != F.col("c"))
         & ((F.col("c") == F.col("main")) | (F.col("x_rep") < F.col("rep")))
         & _close_in_size(F.col("x_size"), F.col("size"))
         & (_agreeing(F.col("x_sketch"), F.col("sketch"), words) >= agree)
-        & (first_shared == F.col("band")))
+        & (least_shared == F.col("key")))
     rest = rest.select(F.least("x_rep", "rep").alias("a"), F.greatest("x_rep", "rep").alias("b"))
     later = verified(rest.join(star, ["a", "b"], "left_anti").distinct(), sets)
     label = first.select(F.col("v"), F.col("c").alias("cv"))

@@ -54,6 +54,21 @@ def test_classes_equal_brute_force(spark):
         assert got == want
 
 
+def test_copies_that_repeat_a_passage_equal_brute_force(spark):
+    rng = random.Random(12)
+    texts = {}
+    for base in range(40):
+        words = sentence(3000 + base, 204).split()
+        part = words[:(44, 64, 104)[base % 3]]
+        texts[len(texts)] = " ".join(words)
+        texts[len(texts)] = " ".join(words + part * (50, 20, 20)[base % 3])
+        texts[len(texts)] = edited(words, rng, 3) + " " + " ".join(part * 9)
+        texts[len(texts)] = edited(words, rng, 12) + " " + " ".join(part * 30)
+    docs = spark.createDataFrame([document(i, t) for i, t in texts.items()], SCHEMA)
+    got = {r.doc_id: r.class_id for r in probminhash.near_duplicates(docs).collect()}
+    assert got == brute_classes(texts)
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
