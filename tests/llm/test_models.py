@@ -101,6 +101,15 @@ def test_candidates_add_and_base_stays(odd, none, spark):
     assert pii.find(none, pii.train(none)).count() == 0
 
 
+def test_every_border_of_groups_is_proposed():
+    card = "4111 1111 1111 1111"
+    for text in (f"card {card} 12/27", f"order 20 {card} paid", f"see 1.5 {card}, 7", card):
+        a = text.index(card)
+        assert ("card", a, a + len(card)) in pii.candidates(text), text
+    assert ("ip", 6, 20) in pii.candidates("256[.]10[.]0[.]0[.]1")
+    assert len(pii.candidates("1 " * 20_000)) < 20 * 20_000
+
+
 def test_trees_and_lasso():
     rng = np.random.default_rng(0)
     x = rng.random((800, 3))
