@@ -110,6 +110,20 @@ def test_every_border_of_groups_is_proposed():
     assert len(pii.candidates("1 " * 20_000)) < 20 * 20_000
 
 
+def test_altered_forms_are_added(spark):
+    model = pii.train(table(spark, SF, "documents"))
+    assert all(t < 1.5 for t in model.thresholds), model.thresholds
+    for kind, before, value, after in (
+            ("card", "card ", "4111 1111 1111 1111", " 12/27"), ("card", "order 20 ", "4111 1111 1111 1111", " paid"),
+            ("card", "paid by ", "4041.8949.7460.8795", " today"), ("email", "write to ", "jane [at] host [dot] org", " or"),
+            ("ip", "host ", "10[.]20[.]30[.]40", " is down"), ("phone", "call ", "0049 (988) 555-2485", " today")):
+        text = before + value + after
+        base, spans = model.spans(text)
+        assert not base and (kind, len(before), len(before) + len(value)) in spans, (text, spans)
+    for text in ("in 2019 and 2020 we sold 300.1.2 of 12", "look at me. Then go", "a b c 1 2 3", "no 5731080387325255"):
+        assert model.spans(text) == ([], []), text
+
+
 def test_trees_and_lasso():
     rng = np.random.default_rng(0)
     x = rng.random((800, 3))
