@@ -52,8 +52,8 @@ def _duplicates(key: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(text, minlength=n) - np.bincount(text[distinct], minlength=n)
 
 
-def _lines_of(data, spans, lines, n):
-    """Normalised lines: per text the distinct hashes and the words that each stands for."""
+def _line_hashes(data, spans, lines):
+    """Hash of each normalised line and its number of words; lines without words have a count of 0."""
     folded = W.Spans(_FOLD[data], spans.start, spans.end, spans.first)
     word = folded.hashes()
     line = np.searchsorted(lines.start, spans.start, side="right") - 1
@@ -62,7 +62,12 @@ def _lines_of(data, spans, lines, n):
     total = np.zeros(len(word) + 1, np.uint64)
     np.cumsum(word * W._power(W._BASE, len(word)), out=total[1:])
     h = (total[bounds[1:]] - total[bounds[:-1]]) * W._power(W._INVERSE, len(word) + 1)[bounds[:-1]]
-    h, count, text = W.mix(h), np.diff(bounds), lines.text
+    return W.mix(h), np.diff(bounds)
+
+
+def _lines_of(data, spans, lines, n):
+    """Normalised lines: per text the distinct hashes and the words that each stands for."""
+    (h, count), text = _line_hashes(data, spans, lines), lines.text
     full = count > 0
     h, count, text, raw = h[full], count[full], text[full], lines.hashes()[full]
     doubled = _duplicates(raw, text, n)
@@ -120,6 +125,56 @@ def frequent_lines(stats: DataFrame, host: str = "source", *, min_documents: int
             .select(found[host], "line", "n_documents"))
 
 
+def _lost(stats: DataFrame, id_column: str, host: str, min_documents: int, share: float) -> DataFrame:
+    """Rows (_id, line, words): the frequent lines that documents hold."""
+    frequent = frequent_lines(stats, host, min_documents=min_documents, share=share)
+    frequent = frequent.select(F.col(host).alias("_host"), F.col("line").alias("_line"))
+    held = stats.select(id_column, host, F.explode("lines").alias("l"))
+    return (held.join(frequent, (F.col("l.line") == F.col("_line")) & F.col(host).eqNullSafe(F.col("_host")))
+            .select(F.col(id_column).alias("_id"), F.col(host).alias("_of"), "l.line", "l.words"))
+
+
+def cleaned(documents: DataFrame, id_column: str = "doc_id", host: str = "source", text: str = "text", *,
+            min_documents: int = 20, share: float = 0.02) -> DataFrame:
+    """Rows (id, host, cleaned): the text without its host's frequent lines; the lines that stay are
+    as they were, with their breaks.  A text that loses nothing, null or empty stays as it is.
+    """
+    stats = materialize(statistics(documents, id_column, host, text))
+    # Rows of one id and host share their lines: each loses those that are frequent in that host.
+    drop = (_lost(stats, id_column, host, min_documents, share)
+            .groupBy("_id", "_of").agg(F.collect_set("line").alias("drop")))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text):
+                data, offsets = W.buffers(part.column(text))
+                lines = W.lines(data, offsets)
+                h, count = _line_hashes(data, W.words(data, offsets), lines)
+                bounds = np.searchsorted(lines.text, np.arange(part.num_rows + 1))
+                raw, out = data.tobytes(), []
+                values = zip(part.column(text).to_pylist(), part.column("drop").to_pylist())
+                for i, (value, gone) in enumerate(values):
+                    if value and gone:
+                        at = slice(bounds[i], bounds[i + 1])
+                        lost = (count[at] > 0) & np.isin(h[at].view(np.int64), np.array(gone, np.int64))
+                        pieces, done, last = [], int(offsets[i]), int(offsets[i + 1])
+                        for a, b in zip(lines.start[at][lost].tolist(), lines.end[at][lost].tolist()):
+                            pieces.append(raw[done:a])
+                            # A line goes with the break that follows it.
+                            done = min(b + (raw[b:b + 1] == b"\n"), last)
+                        value = b"".join([*pieces, raw[done:last]]).decode()
+                    out.append(value)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(id_column), part.column(host), pa.array(out, pa.string())],
+                    names=[id_column, host, "cleaned"])
+
+    source = documents.select(id_column, host, text)
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
+    return (source.join(drop, F.col(id_column).eqNullSafe(F.col("_id")) & F.col(host).eqNullSafe(F.col("_of")), "left")
+            .select(*source.columns, "drop")
+            .mapInArrow(run, f"`{id_column}` {kinds[id_column]}, `{host}` {kinds[host]}, cleaned string"))
+
+
 def apply(documents: DataFrame, id_column: str = "doc_id", host: str = "source",
           text: str = "text", *, min_documents: int = 20, share: float = 0.02,
           max_lost: float = 0.5) -> DataFrame:
@@ -130,12 +185,8 @@ def apply(documents: DataFrame, id_column: str = "doc_id", host: str = "source",
     Null and empty texts fail the first rule.  A null host is a host of its own.
     """
     stats = materialize(statistics(documents, id_column, host, text))
-    frequent = frequent_lines(stats, host, min_documents=min_documents, share=share)
-    frequent = frequent.select(F.col(host).alias("_host"), F.col("line").alias("_line"))
-    held = stats.select(id_column, host, F.explode("lines").alias("l"))
-    lost = (held.join(frequent, (F.col("l.line") == F.col("_line"))
-                      & F.col(host).eqNullSafe(F.col("_host")))
-            .groupBy(F.col(id_column).alias("_id")).agg(F.sum("l.words").alias("n_lost")))
+    lost = (_lost(stats, id_column, host, min_documents, share)
+            .groupBy("_id").agg(F.sum("words").alias("n_lost")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = (stats.drop("lines").join(lost, F.col(id_column).eqNullSafe(F.col("_id")), "left")
            .withColumn("n_lost", F.coalesce("n_lost", F.lit(0)).cast("long")).drop("_id")

@@ -47,6 +47,32 @@ def test_frequent_lines_reject_depleted_documents(spark):
     assert all(rows[200 + i].n_lost == 0 for i in range(10))
 
 
+def test_cleaned_texts_equal_brute_force(spark):
+    top, low = "Share THIS page 123 now", "© é all  rights 日本"
+    docs = [document(i, f"{top}\n\n{sentence(i, 60)}\nshare this page {i} now\n{low}" + "\n" * (i % 2), "h")
+            for i in range(40)]
+    docs += [document(100 + i, f"{top}\n{sentence(i, 9)}", None if i % 2 else "other") for i in range(10)]
+    docs += [document(200, "", "h"), document(201, None, "h"), document(202, f"\n{top}\n", "h"), document(203, top, "h")]
+    frame = spark.createDataFrame(docs, SCHEMA)
+
+    def norm(line):
+        return " ".join("".join("0" if c in "123456789" else c.lower() if c.isascii() else c for c in line).split())
+
+    seen = {}
+    for d in docs:
+        for line in {norm(x) for x in (d[1] or "").split("\n")} - {""}:
+            seen[d[3], line] = seen.get((d[3], line), 0) + 1
+    hosts = {h: sum(d[3] == h for d in docs) for h in ("h", "other", None)}
+    often = {k for k, n in seen.items() if n > 20 and n > 0.02 * hosts[k[0]]}
+    assert often
+    got = {r.doc_id: r.cleaned for r in line_rules.cleaned(frame).collect()}
+    lost = {r.doc_id: r.n_lost for r in line_rules.apply(frame).collect()}
+    for d in docs:
+        rest = "".join(x for x in (d[1] or "").splitlines(keepends=True) if (d[3], norm(x)) not in often)
+        assert (got[d[0]] or "") == rest and (got[d[0]] is None) == (d[1] is None), d
+        assert len((d[1] or "").split()) - len(rest.split()) == lost[d[0]], d
+
+
 def test_search_equals_brute_force(spark):
     rng = np.random.default_rng(8)
     data = [(i, rng.normal(size=40).tolist()) for i in range(300)]
