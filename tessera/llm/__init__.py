@@ -1 +1 @@
-"""Operators for training-data pipelines: tokens, quality, duplicates, personal data, search."""
+"""Operators for training-data pipelines: tokens, quality, duplicates, personal data, search, manifests."""

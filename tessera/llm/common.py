@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,8 +32,19 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new local one where unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-")
+    """The folder of ``spark.checkpoint.dir``.  Where it is unset a local session, as in tests, gets
+    one of its own; on a cluster that would be a folder which executors can't see, so it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        return _local_folder(spark.sparkContext.applicationId)
+    return folder
+
+
+@functools.cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"{application}-")
 
 
 def stored(df: DataFrame) -> DataFrame:

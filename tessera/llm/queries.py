@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, hamming, line_rules, packing, phrases, pii, probminhash, rule_ensemble, toxicity
+from tessera.llm import (bpe, chat, hamming, line_rules, merkle, oracles, packing, phrases, pii, prefix_trie, probminhash,
+                         rule_ensemble, toxicity, url_rules)
 from tessera.llm.common import table
 
 
@@ -57,6 +58,21 @@ def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.search(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_rules.rule_table(spark, (
+        ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+        ("allow", "com", "/fr/"), ("block", "com", "/de/")))
+    return url_rules.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_rule_ensemble": op2_rule_ensemble,
@@ -68,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_grammar": op8_toxicity_grammar,
     "op9_line_rules": op9_line_rules,
     "op10_hamming_topk": op10_hamming_topk,
+    "op11_url_rules": op11_url_rules,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 _OP7 = r"""
 WITH turns AS (
@@ -168,4 +187,7 @@ ORACLES: dict[str, str] = {
     "op7_chat_format": _OP7,
     "op9_line_rules": _OP9,
     "op10_hamming_topk": _OP10,
+    "op11_url_rules": oracles.URL_RULES,
+    "op12_merkle_manifest": oracles.merkle(),
+    "op13_prefix_trie": oracles.TRIE,
 }

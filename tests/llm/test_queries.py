@@ -14,8 +14,8 @@ def test_query_equals_oracle(spark, name):
     assert differences(got, tables(SF).execute(q.ORACLES[name]).df()) == ""
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in q.QUERIES) == list(range(1, 11))
+def test_all_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in q.QUERIES) == list(range(1, 14))
 
 
 def test_chat_plan_has_no_python(spark):
