@@ -36,14 +36,14 @@ def shared_folder(spark: SparkSession) -> str:
     one of its own; on a cluster that would be a folder which executors can't see, so it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        return _local_folder(spark.sparkContext.applicationId)
+        return own_folder(spark.conf.get("spark.master"), spark.sparkContext.applicationId)
     return folder
 
 
 @functools.cache
-def _local_folder(application: str) -> str:
+def own_folder(master: str, application: str) -> str:
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return tempfile.mkdtemp(prefix=f"{application}-")
 
 

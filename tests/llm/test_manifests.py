@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import merkle, prefix_trie, url_rules
-from tessera.llm.common import shared_folder
+from tessera.llm.common import own_folder, shared_folder
 from tests.llm.conftest import SCHEMA, document
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -212,8 +212,8 @@ def test_double_array_holds_exactly_its_paths():
         assert array.walk([s])[0, -1] == (-1 if tuple(s) not in of else of[tuple(s)])
 
 
-def test_the_shared_folder_is_never_local_on_a_cluster(spark, monkeypatch):
+def test_the_shared_folder_is_never_local_on_a_cluster(spark):
     assert shared_folder(spark) == shared_folder(spark)
-    monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[2,1,1024]")
-    with pytest.raises(RuntimeError):
-        shared_folder(spark)
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(RuntimeError):
+            own_folder(master, "app")
