@@ -1,8 +1,18 @@
-"""Several distinct counts per key in one pass."""
+"""Distinct counts of a table and, several in one pass, per key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def distinct_values(df: DataFrame, column: str) -> Column:
+    """Number of distinct non-null values of a column, as a scalar of its own aggregate.
+
+    Several distinct counts in one aggregate would copy every row once per column.  Apart they
+    read one column each, drop repeats in the map task, and a hot value is one row of each task.
+    """
+    # A countDistinct would be merged with others of its kind again, and then copy rows.
+    return df.select(column).distinct().agg(F.count(column)).scalar()
 
 
 def count_with_distincts(df: DataFrame, key: str, ids: dict[str, str], *,

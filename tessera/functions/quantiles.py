@@ -1,9 +1,11 @@
 """Exact ranks and percentiles of large groups, spread over many tasks.
 
-``percentile`` keeps every distinct value of a group in one task.  Here the values are
-first counted (map-side combined), then cut into ranges at rough quantiles.  Counts per
-range give the rank offset of each range, so ranks inside a range are found on their own.
-The cut points only balance the work; the result does not depend on them.
+``percentile`` keeps every distinct value of a group in one task.  Here the interval that holds
+a rank is found first and refined: values fall into intervals of a fixed monotone function, one
+aggregate counts them, and counts before an interval give the rank of its first value.  Only the
+values of intervals that hold a wanted rank are counted and sorted.  The work per value does not
+depend on the number of partitions; a group's tasks see its intervals (some 10^5 for values of
+ten orders of magnitude) and one interval's values, never all values.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.constants import PERCENTS
 
-_LEAST_RANGES = 8
+# Intervals per factor e, and the size below which values lie in few intervals.
+_INTERVALS, _SMALL = 1 << 15, 1e-9
 
 
 def stack(df: DataFrame, metrics: dict[str, Column], *, keep: Sequence[str] = ()) -> DataFrame:
@@ -27,42 +30,29 @@ def stack(df: DataFrame, metrics: dict[str, Column], *, keep: Sequence[str] = ()
             .select(*keep, "_m.metric", "_m.value").filter(F.col("value").isNotNull()))
 
 
-def _ranged(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Distinct values with their count ``_n``, range, rank offset and group statistics."""
-    # The filter drops nothing; it keeps `_n` in every branch below, so that the branches
-    # stay equal up to here and Spark runs the shuffle under them once.
-    counts = (df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-              .filter(F.col("_n") > 0))
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(_LEAST_RANGES, partitions)
-    marks = [i / ranges for i in range(1, ranges)]
-    groups = counts.groupBy(*by).agg(
-        F.percentile_approx(value, marks, max(1000, 10 * ranges)).alias("_cuts"),
-        F.sum("_n").alias("n"),
-        (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("mean"),
-        F.min(value).alias("min"), F.max(value).alias("max"))
-    # Spark broadcasts the groups or the offsets where they are small.
-    ranged = counts.join(groups, by).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    before = (Window.partitionBy(*by).orderBy("_range")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_range_n")).withColumn(
-        "_offset", F.coalesce(F.sum("_range_n").over(before), F.lit(0)))
-    return ranged.join(offsets, [*by, "_range"])
-
-
-def _with_ranks(ranged: DataFrame, by: list[str], value: str) -> DataFrame:
-    inside = (Window.partitionBy(*by, "_range").orderBy(value)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    return ranged.withColumn(
-        "below", F.col("_offset") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+def _interval(value: str) -> Column:
+    """Number of a value's interval, never falling as values rise: each step of it is monotone, and
+    so is rounding.  NaN is the last interval, as it is the largest value."""
+    size = F.rint(F.log1p(F.abs(value) / F.lit(_SMALL)) * F.lit(float(_INTERVALS)))
+    return F.signum(value) * size
+
+
+def _before(by: list[str], order: str) -> Column:
+    """Values of a group before the current interval or value."""
+    rows = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_n").over(rows), F.lit(0))
 
 
 def value_ranks(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """``(by…, value, copies, below, n)`` for every distinct value of every group."""
     by = list(by)
-    return _with_ranks(_ranged(df, by, value), by, value).select(
-        *by, value, F.col("_n").alias("copies"), "below", "n")
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_at", _interval(value))
+    offsets = counts.groupBy(*by, "_at").agg(F.sum("_n").alias("_n"))
+    offsets = offsets.select(*by, "_at", _before(by, "_at").alias("_offset"),
+                             F.sum("_n").over(Window.partitionBy(*by)).alias("n"))
+    ranked = counts.withColumn("_inside", _before([*by, "_at"], value))
+    return ranked.join(offsets, [*by, "_at"]).select(
+        *by, value, F.col("_n").alias("copies"), (F.col("_offset") + F.col("_inside")).alias("below"), "n")
 
 
 def counted_percentiles(df: DataFrame, by: Sequence[str], value: str = "value",
@@ -97,26 +87,40 @@ def _at_rank(percent: float) -> Column:
 
 def percentiles(df: DataFrame, by: Sequence[str], value: str = "value",
                 percents: Sequence[float] = PERCENTS) -> DataFrame:
-    """``(by…, n, mean, p<q>…, min, max)``, percentiles linearly interpolated."""
+    """``(by…, n, mean, p<q>…, min, max)``, percentiles linearly interpolated.
+
+    Groups are few (metrics, channels): the intervals that hold their ranks, at most two for each
+    percentile of a group, are broadcast.
+    """
     by = list(by)
-    ranged = _ranged(df, by, value)
+    rows = df.select(*by, value).withColumn("_at", _interval(value))
+    counts = rows.groupBy(*by, "_at").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_sum"), F.min(value).alias("_least"), F.max(value).alias("_most"))
+    group = Window.partitionBy(*by)
+    counts = counts.select(
+        *by, "_at", "_n", _before(by, "_at").alias("_offset"), F.sum("_n").over(group).alias("n"),
+        (F.sum("_sum").over(group) / F.sum("_n").over(group)).alias("mean"),
+        F.min("_least").over(group).alias("min"), F.max("_most").over(group).alias("max"))
     ranks = {q: F.lit(q / 100.0) * (F.col("n").cast("double") - 1) for q in percents}
 
-    def holds(rank: Column) -> Column:
-        return (F.col("_offset") <= rank) & (rank < F.col("_offset") + F.col("_range_n"))
+    def holds(rank: Column, first: str) -> Column:
+        return (F.col(first) <= rank) & (rank < F.col(first) + F.col("_n"))
 
-    # Only ranges that hold a wanted rank are sorted.
     wanted = F.lit(False)
     for r in ranks.values():
-        wanted = wanted | holds(F.floor(r)) | holds(F.ceil(r))
-    ranked = _with_ranks(ranged.filter(wanted), by, value)
+        wanted = wanted | holds(F.floor(r), "_offset") | holds(F.ceil(r), "_offset")
+    about = ("_offset", "n", "mean", "min", "max")
+    wanted = F.broadcast(counts.filter(wanted).select(*by, "_at", *about))
+    inside = (rows.join(wanted, [*by, "_at"]).groupBy(*by, "_at", value)
+              .agg(F.count(F.lit(1)).alias("_n"), *[F.max(c).alias(c) for c in about]))
+    # One shuffle for the window and the last aggregate: both keep a group together.
+    ranked = inside.repartition(*by).withColumn("_below", F.col("_offset") + _before([*by, "_at"], value))
 
     def at(rank: Column) -> Column:
-        here = (F.col("below") <= rank) & (rank < F.col("below") + F.col("_n"))
-        return F.max(F.when(here, F.col(value)))
+        return F.max(F.when(holds(rank, "_below"), F.col(value)))
 
     return ranked.groupBy(*by).agg(
-        *[F.first(c).alias(c) for c in ("n", "mean")],
+        *[F.max(c).alias(c) for c in ("n", "mean")],
         *[(at(F.floor(r)) + F.max(r - F.floor(r)) * (at(F.ceil(r)) - at(F.floor(r))))
           .alias(f"p{q:g}") for q, r in ranks.items()],
-        *[F.first(c).alias(c) for c in ("min", "max")])
+        *[F.max(c).alias(c) for c in ("min", "max")])

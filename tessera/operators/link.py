@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.constants import LOOKBACK_HOURS
 from tessera.functions.lookups import join_by_key, lookup
-from tessera.functions.ordered import nearest_known, rank_key, time_slice
+from tessera.functions.ordered import join_by_cut, nearest_known, rank_key, slice_cuts, sliced
 from tessera.functions.timing import in_lookback
 
 TIEBREAK = ("event_id",)
@@ -55,18 +55,18 @@ def _fill_from_last(events: DataFrame, admissions: DataFrame, tiebreak: Sequence
 def _fill_from_next(events: DataFrame, admissions: DataFrame, tiebreak: Sequence[str]) -> DataFrame:
     """The value of the nearest following row that has one (the row itself included)."""
     attached = attach_admissions(events, admissions, spread_by=tiebreak)
+    order_of = {"part": "subject_id", "time": "charttime", "tiebreak": tiebreak}
+    cuts = slice_cuts(events, **order_of)
     # The first row of each admission in a slice is enough to know the slice's first values.
-    first = (events.filter(F.col("hadm_id").isNotNull())
-             .groupBy("subject_id", "hadm_id",
-                      time_slice(events, "charttime", tiebreak).alias("_slice"))
+    first = (join_by_cut(sliced(events.filter(F.col("hadm_id").isNotNull()), cuts, **order_of), cuts, "subject_id")
+             .groupBy("subject_id", "hadm_id", "_slice")
              .agg(*[F.min_by(c, rank_key(events, "charttime", tiebreak)).alias(c)
                     for c in ("charttime", *tiebreak)])
              .drop("_slice")
              .join(admissions.select("hadm_id", "admittime"), "hadm_id", "left"))
     filled = nearest_known(
-        attached, {"_admit_filled": "admittime", "_hadm_filled": "hadm_id"},
-        part="subject_id", time="charttime", tiebreak=tiebreak,
-        forward=True, include_current=True, edges_from=first)
+        attached, {"_admit_filled": "admittime", "_hadm_filled": "hadm_id"}, **order_of,
+        forward=True, include_current=True, edges_from=first, cuts=cuts)
     return filled.drop("admittime")
 
 

@@ -116,4 +116,7 @@ def quantile_scaled(cells: DataFrame) -> DataFrame:
     ranks = value_ranks(cells, CHANNEL).select(
         *CHANNEL, "value",
         F.when(F.col("n") > 1, F.col("below") / (F.col("n") - 1)).otherwise(0.0).alias("quantile"))
-    return cells.join(ranks, [*CHANNEL, "value"])
+    # The hash gives both sides a shuffle of their own, so that a frequent value is split.
+    bucket = F.pmod(F.xxhash64(*CHANNEL, "value"), F.lit(1 << 20))
+    return (cells.withColumn("_bucket", bucket)
+            .join(ranks.withColumn("_bucket", bucket), [*CHANNEL, "value", "_bucket"]).drop("_bucket"))

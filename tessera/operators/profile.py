@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.constants import (DURATION_BUCKETS, MIN_LABS_STEPS, MIN_SPECIMENS_STEPS, PERCENTS,
                                SWEEP_SIZES)
-from tessera.functions.counting import count_with_distincts
+from tessera.functions.counting import count_with_distincts, distinct_values
 from tessera.functions.lookups import join_by_key
 from tessera.functions.ordered import nearest_known
 from tessera.functions.quantiles import counted_percentiles, percentiles, stack
@@ -22,12 +22,13 @@ def dataset_totals(events: DataFrame) -> DataFrame:
     n = F.col("n_events")
     return events.agg(
         F.count(F.lit(1)).alias("n_events"),
-        F.countDistinct("hadm_id").alias("n_admissions"),
-        F.countDistinct("specimen_id").alias("n_specimens"),
         F.count_if(F.col("hadm_id").isNull()).alias("hadm_null"),
         F.count_if(F.col("valuenum").isNull()).alias("valuenum_null"),
-    ).withColumn("hadm_null_pct", percent(F.col("hadm_null"), n)).withColumn(
-        "valuenum_null_pct", percent(F.col("valuenum_null"), n))
+    ).select(
+        "n_events", distinct_values(events, "hadm_id").alias("n_admissions"),
+        distinct_values(events, "specimen_id").alias("n_specimens"), "hadm_null", "valuenum_null",
+        percent(F.col("hadm_null"), n).alias("hadm_null_pct"),
+        percent(F.col("valuenum_null"), n).alias("valuenum_null_pct"))
 
 
 def specimen_profile(events: DataFrame, *, cells: int = 256) -> DataFrame:
@@ -71,7 +72,7 @@ def admission_distributions(profile: DataFrame) -> DataFrame:
 def specimen_gaps(events: DataFrame) -> DataFrame:
     """Hours between consecutive specimens of an admission.
 
-    The previous specimen is found per time slice, so no admission fills one task.
+    The previous specimen is found per slice of even rows, so no admission fills one task.
     """
     times = (events.filter(F.col("hadm_id").isNotNull() & F.col("specimen_id").isNotNull()
                            & F.col("charttime").isNotNull())
@@ -240,13 +241,12 @@ def table_profile(df: DataFrame, *, null_columns: Sequence[str] = (),
     uniques = [c for c in unique_columns if c in df.columns]
     counted = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        *[F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in dict.fromkeys(nulls + uniques)],
-        *[F.countDistinct(c).alias(f"{c}_unique") for c in uniques])
+        *[F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in dict.fromkeys(nulls + uniques)])
     n = F.col("n_rows")
     return counted.select(
         F.lit(step).alias("step"), "n_rows", F.lit(len(df.columns)).alias("n_columns"),
         *[F.col(f"{c}_nulls") for c in nulls],
         *[F.coalesce(percent(F.col(f"{c}_nulls"), n), F.lit(0.0)).alias(f"{c}_null_pct")
           for c in nulls],
-        *[(F.col(f"{c}_unique") + (F.col(f"{c}_nulls") > 0).cast("int")).alias(f"{c}_unique")
+        *[(distinct_values(df, c) + (F.col(f"{c}_nulls") > 0).cast("int")).alias(f"{c}_unique")
           for c in uniques])

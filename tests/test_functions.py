@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import counting, quantiles, timing, values
 from tessera.functions.lookups import lookup
-from tessera.functions.ordered import nearest_known
+from tessera.functions.ordered import nearest_known, slice_cuts, sliced
 
 
 def test_number_text(spark):
@@ -108,6 +108,48 @@ def test_nearest_known_equals_brute_force(spark, forward, include):
     assert {r["id"]: r["near"] for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("times", ["one_day", "one_moment", "none"])
+@pytest.mark.parametrize("forward", [True, False])
+def test_slices_of_a_long_history_are_even_whatever_its_times(spark, times, forward):
+    rng = random.Random(5)
+    start = pd.Timestamp("2020-01-01")
+
+    def when():
+        spread = {"one_day": rng.randint(0, 80_000), "one_moment": 7, "none": None}[times]
+        return None if spread is None else (start + pd.Timedelta(seconds=spread)).to_pydatetime()
+
+    # Two thirds of all rows are one subject's.
+    data = [(i, 0 if i % 3 else i, when(), float(i) if rng.random() < 0.01 else None) for i in range(9_000)]
+    df = spark.createDataFrame(data, "id long, p long, t timestamp_ntz, v double")
+    order_of = {"part": "p", "time": "t", "tiebreak": ("id",)}
+    sizes = [r["count"] for r in sliced(df, slice_cuts(df, **order_of, slice_rows=400), **order_of)
+             .filter("p = 0").groupBy("_slice").count().collect()]
+    assert sum(sizes) == 6_001 and 10 <= len(sizes) <= 24 and max(sizes) < 1_000
+    got = nearest_known(df, {"near": "v"}, **order_of, forward=forward, include_current=True, slice_rows=400)
+    want = brute_nearest(pd.DataFrame(data, columns=["id", "p", "t", "v"]), forward, True)
+    assert {r["id"]: r["near"] for r in got.collect()} == want
+
+
+def test_slices_by_several_tie_breaks(spark):
+    data = [(i % 50, i, 0, None if i % 9 else float(i)) for i in range(3_000)]
+    df = spark.createDataFrame(data, "a int, b int, p int, v double").withColumn("t", F.lit(None).cast("timestamp_ntz"))
+    order_of = {"part": "p", "time": "t", "tiebreak": ("a", "b")}
+    assert sliced(df, slice_cuts(df, **order_of, slice_rows=200), **order_of).select("_slice").distinct().count() > 8
+    got = nearest_known(df, {"near": "v"}, **order_of, forward=False, include_current=True, slice_rows=200)
+    last, want = None, {}
+    for a, b, _, v in sorted(data):
+        last = v if v is not None else last
+        want[a, b] = last
+    assert {(r["a"], r["b"]): r["near"] for r in got.collect()} == want
+
+
+def test_distinct_values_copy_no_rows(spark):
+    df = spark.range(5_000).selectExpr("id % 7 AS a", "if(id % 5 = 0, null, id % 900) AS b")
+    got = df.agg(F.count(F.lit(1)).alias("n")).select("n", *[counting.distinct_values(df, c).alias(c) for c in "ab"])
+    assert got.first() == (5_000, 7, 720)
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lookup_spreads_null_keys(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -142,6 +184,21 @@ def test_percentiles_equal_numpy(spark, kind):
     assert got["mean"] == pytest.approx(data.mean())
 
 
+def test_percentiles_of_all_signs_and_sizes(spark):
+    rng = np.random.default_rng(8)
+    data = np.concatenate((rng.normal(size=300) * 10.0 ** rng.integers(-12, 300, 300), [0.0, -0.0, 1e-300, -1e-300, np.inf, -np.inf] * 3))
+    # One value is most of a group.
+    data = np.concatenate((data, np.full(2_000, 0.5)))
+    df = spark.createDataFrame(pd.DataFrame({"metric": "m", "value": data}))
+    got = quantiles.percentiles(df, ["metric"], percents=(2, 10, 50, 95)).first()
+    ordered = np.sort(data)
+    for q in (2, 10, 50, 95):
+        low, high = (ordered[int(f(q / 100 * (len(data) - 1)))] for f in (np.floor, np.ceil))
+        assert got[f"p{q}"] == low if low == high else low <= got[f"p{q}"] <= high
+    assert (got["n"], got["min"], got["max"]) == (len(data), -np.inf, np.inf)
+    assert quantiles.percentiles(df.limit(0), ["metric"]).count() == 0
+
+
 def test_value_ranks_equal_pandas(spark):
     rng = np.random.default_rng(5)
     frame = pd.DataFrame({"g": rng.integers(0, 3, 2000), "value": rng.integers(0, 90, 2000) / 10})

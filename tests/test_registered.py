@@ -43,6 +43,23 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def shuffles_run(df) -> int:
+    """Shuffles of the plan that was run, without those that were used again."""
+    df._jdf.collectToPython()
+    final = plan_of(df).split("+- == Initial Plan ==")[0]
+    return len(re.findall(r"^[ :+*-]*Exchange ", final, re.MULTILINE))
+
+
+def test_percentiles_run_few_shuffles(spark):
+    # Two make the profile; the others count intervals, place them, and count and sort what is left.
+    assert shuffles_run(q.QUERIES["dist_summary_admission"](spark, SF)) <= 6
+
+
+@pytest.mark.parametrize("name", ["dataset_totals", "table_profile"])
+def test_totals_copy_no_rows(spark, name):
+    assert "Expand" not in plan_of(q.QUERIES[name](spark, SF))
+
+
 def test_scan_reads_only_needed_columns_and_filters_early(spark):
     plan = plan_of(q.QUERIES["binned_last_value"](spark, SF))
     scans = re.findall(r"FileScan parquet \[([^\]]*)\]", plan)
