@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions.lookups import join_by_key
 from tessera.functions.ordered import rank_key
-from tessera.functions.timing import elapsed_micros, in_bins, time_bin
+from tessera.functions.timing import elapsed_micros, in_bins, in_window, time_bin
 from tessera.functions.values import from_number_text, present, present_or_null, reference_scaled
 from tessera.operators.link import TIEBREAK
 
@@ -29,6 +29,21 @@ def place_events(events: DataFrame, layout: DataFrame, *, n_bins: int, bin_hours
     ).withColumn("elapsed", elapsed_micros("charttime", anchor))
 
 
+def window_events(events: DataFrame, layout: DataFrame, *, n_bins: int, bin_hours: float,
+                  window_hours: float, anchor: str = "admittime") -> DataFrame:
+    """Events inside the window, on the grid or not: as :func:`place_events` with ``in_window``.
+
+    Off the grid, and after the last whole bin, ``time_bin``, ``row`` and ``col`` are null.
+    """
+    seen, binned = in_window(window_hours, anchor=anchor), in_bins(n_bins, bin_hours, anchor=anchor)
+    inside = events.filter(F.col("hadm_id").isNotNull() & (seen | binned))
+    placed = inside.join(F.broadcast(layout.select("itemid", "row", "col")), "itemid", "left")
+    on_grid = F.col("row").isNotNull() & binned
+    return placed.withColumns({
+        "time_bin": F.when(on_grid, time_bin(bin_hours, anchor=anchor)), "in_window": seen,
+        "elapsed": elapsed_micros("charttime", anchor)})
+
+
 def last_cells(placed: DataFrame, *, keys: Sequence[str] = CELL_KEYS,
                tiebreak: Sequence[str] = TIEBREAK) -> DataFrame:
     """Last present value per cell as float32; a later null never overwrites.

@@ -52,13 +52,16 @@ def build_videos(events: DataFrame, vocabulary: DataFrame, *,
                  min_specimens: int | None = None, max_specimens: int | None = None,
                  top: int | None = None, hadm_ids: DataFrame | None = None,
                  exclude: Iterable[int] = (), anchor: str = "admittime",
-                 tiebreak: Sequence[str] = ("labevent_id",)) -> Videos:
+                 tiebreak: Sequence[str] = ("labevent_id",), keep: bool = False) -> Videos:
     """Linked events to (T, H, W) videos.
 
     ``max_specimens`` limits whole-stay specimens when types are ranked, and in-window
     specimens when admissions are chosen.  ``hadm_ids`` replaces the choice; ids without
-    events give all-missing videos.  An empty ``exclude`` means the standard list.
+    events give all-missing videos.  An empty ``exclude`` means the standard list.  All frames are
+    lazy; with ``keep`` layout, cohort and members are computed once and kept in the folder that
+    ``spark.checkpoint.dir`` names.
     """
+    kept = cut_lineage if keep else lambda df: df
     n_bins = bin_count(window_hours, bin_hours)
     stay = (cohort.specimens_per_admission(events, at_most=max_specimens)
             if max_specimens is not None else None)
@@ -66,28 +69,32 @@ def build_videos(events: DataFrame, vocabulary: DataFrame, *,
                            exclude=list(exclude) or EXCLUDED_ITEMIDS,
                            linked_only=True, cohort=stay)
     # The layout and the cohort are small next to the events and used several times.
-    layout = cut_lineage(grid.layout_for(ranked, vocabulary, shape))
-    chosen = hadm_ids if hadm_ids is not None else cut_lineage(cohort.in_window_ranking(
+    layout = kept(grid.layout_for(ranked, vocabulary, shape))
+    chosen = hadm_ids if hadm_ids is not None else kept(cohort.in_window_ranking(
         events, window_hours=window_hours, min_specimens=min_specimens,
         max_specimens=max_specimens, top=top, anchor=anchor))
     placed = cells.place_events(events, layout, n_bins=n_bins, bin_hours=bin_hours,
                                 cohort=chosen, anchor=anchor)
-    last = cut_lineage(cells.last_cells(placed, tiebreak=tiebreak))
     n_cells = shape[0] * shape[1]
+    # One pass over the events serves cells, frames and summary.
+    folded = kept(meta.members(placed, chosen, n_bins=n_bins, tiebreak=tiebreak))
+    last = meta.cells_of(folded)
     return Videos(
         layout=layout, cohort=chosen, cells=last, placed=placed,
         tensors=tensor.video_tensors(last, chosen, (n_bins, *shape)),
-        frames=meta.frame_metadata(placed, chosen, n_bins=n_bins, n_cells=n_cells,
-                                   tiebreak=tiebreak),
-        summary=meta.video_summary(placed, last, chosen, n_bins=n_bins, n_cells=n_cells))
+        frames=meta.frames_of(folded, n_bins=n_bins, n_cells=n_cells),
+        summary=meta.summary_of(folded, n_bins=n_bins, n_cells=n_cells))
 
 
 def build_images(events: DataFrame, vocabulary: DataFrame, *,
                  shape: tuple[int, int] = IMAGE_SHAPE, top_k: int | None = None,
                  use_top_k: bool = True, by_category: bool = True, scaled: bool = False,
                  specimens: DataFrame | None = None, missing: float | None = float("nan"),
-                 tiebreak: Sequence[str] = ("labevent_id",)) -> DataFrame:
-    """Events to one (H, W) image per specimen, all or selected ones, in one job."""
+                 tiebreak: Sequence[str] = ("labevent_id",), keep: bool = False) -> DataFrame:
+    """Events to one (H, W) image per specimen, all or selected ones, in one job.
+
+    ``keep`` computes the layout once and keeps it, as in :func:`build_videos`.
+    """
     if use_top_k:
         ranked = grid.top_labs(events, top_k or shape[0] * shape[1])
         layout = grid.layout_for(ranked, vocabulary, shape, by_category=by_category)
@@ -96,7 +103,7 @@ def build_images(events: DataFrame, vocabulary: DataFrame, *,
     ids = profile.distinct_specimens(events)
     if specimens is not None:
         ids = ids.join(specimens.select("specimen_id"), "specimen_id", "left_semi")
-    filled = cells.specimen_cells(events, cut_lineage(layout), scaled=scaled,
+    filled = cells.specimen_cells(events, cut_lineage(layout) if keep else layout, scaled=scaled,
                                   specimens=specimens, tiebreak=tiebreak)
     return tensor.specimen_tensors(filled, ids, shape, missing=missing)
 
@@ -118,10 +125,11 @@ def image_files(spark: SparkSession, *, out: str, vocabulary_csv: str, events: s
 def normalise_tensors(tensors: DataFrame, layout: DataFrame, *, shape: tuple[int, int],
                       stats: DataFrame | None = None, train: DataFrame | None = None,
                       log_itemids: Iterable[int] = LOG_ITEMIDS,
-                      limits: tuple[float, float] = CLIP) -> tuple[DataFrame, DataFrame]:
+                      limits: tuple[float, float] = CLIP, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """Stored videos to normalised videos, with the statistics used.
 
-    Statistics come from ``stats``, or are fitted on the ``train`` ids, or on all videos.
+    Statistics come from ``stats``, or are fitted on the ``train`` ids, or on all videos; with ``keep``
+    they are fitted at once and kept, as in :func:`build_videos`.
     """
     height, width = shape
     per_frame = height * width
@@ -135,7 +143,8 @@ def normalise_tensors(tensors: DataFrame, layout: DataFrame, *, shape: tuple[int
     if stats is None:
         fitted_on = (sparse if train is None
                      else cohort.keep_cohort(sparse, train))
-        stats = cut_lineage(normalize.fit(fitted_on, places, log_itemids=log_itemids))
+        stats = normalize.fit(fitted_on, places, log_itemids=log_itemids)
+        stats = cut_lineage(stats) if keep else stats
     z = normalize.transform(sparse, stats, limits=limits).drop("value").withColumnRenamed(
         "z", "value")
     position = F.col("time_bin") * per_frame + F.col("row") * width + F.col("col")

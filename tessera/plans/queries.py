@@ -76,15 +76,18 @@ def ev_cells(s, d) -> DataFrame:
     return cells.last_cells(ev_placed(s, d))
 
 
+def ev_members(s, d, times: bool = False) -> DataFrame:
+    rows = cells.window_events(v.ev(s, d), ev_layout(s, d), n_bins=v.EV_BINS, bin_hours=v.EV_BIN_HOURS,
+                               window_hours=v.EV_WINDOW_HOURS)
+    return meta.members(rows, n_bins=v.EV_BINS, times=times)
+
+
 def ev_frames(s, d) -> DataFrame:
-    return meta.frame_metadata(ev_placed(s, d), ev_cohort(s, d), n_bins=v.EV_BINS,
-                               n_cells=N_CELLS)
+    return meta.frames_of(ev_members(s, d), n_bins=v.EV_BINS, n_cells=N_CELLS)
 
 
 def ev_summary(s, d) -> DataFrame:
-    placed = ev_placed(s, d)
-    return meta.video_summary(placed, cells.last_cells(placed), ev_cohort(s, d),
-                              n_bins=v.EV_BINS, n_cells=N_CELLS)
+    return meta.summary_of(ev_members(s, d), n_bins=v.EV_BINS, n_cells=N_CELLS)
 
 
 def ev_videos(s, d) -> DataFrame:
@@ -390,10 +393,8 @@ def frame_metadata(s, d):
 @query
 def frame_documents(s, d):
     """The nested metadata records, one row per frame for comparison."""
-    placed, layout = ev_placed(s, d), ev_layout(s, d)
-    documents = meta.video_documents(
-        placed, cells.last_cells(placed), layout, ev_cohort(s, d), n_bins=v.EV_BINS,
-        bin_hours=v.EV_BIN_HOURS, shape=v.EV_SHAPE)
+    documents = meta.documents_of(ev_members(s, d, times=True), ev_layout(s, d), n_bins=v.EV_BINS,
+                                  bin_hours=v.EV_BIN_HOURS, shape=v.EV_SHAPE)
     frame = documents.select("hadm_id", F.size("video_summary.specimen_ids").alias("all_ids"),
                              F.explode("frames").alias("f"))
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")

@@ -41,15 +41,11 @@ def local_session(cores: int | str = 8, *, app: str = "tessera") -> SparkSession
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
-
-    Without ``spark.checkpoint.dir`` the frame is returned as it is: Spark then
-    recomputes it where it is used again, which is slower but still right.
-    """
+    """Reliable checkpoint in the shared folder that ``spark.checkpoint.dir`` must name."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
     if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise RuntimeError("spark.checkpoint.dir names no folder to keep results in")
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()

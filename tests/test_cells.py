@@ -1,3 +1,6 @@
+import random
+from datetime import timedelta
+
 import numpy as np
 import pytest
 from conftest import at, rows
@@ -64,7 +67,7 @@ def test_frames_count_events_without_value(spark, placed):
 
 def test_summary_and_its_invariants(spark, placed):
     cohort = spark.createDataFrame([(1,), (2,), (3,)], "hadm_id long")
-    out = meta.video_summary(placed, cells.last_cells(placed), cohort, n_bins=3, n_cells=4)
+    out = meta.video_summary(placed, cohort, n_bins=3, n_cells=4)
     assert rows(out, "hadm_id", "filled_cells", "fill_pct", "frames_with_data", "frames_empty",
                 "temporal_density_pct", "total_specimens_merged") == [
         (1, 3, 25.0, 2, 1, 66.7, 3), (2, 0, 0.0, 0, 3, 0.0, 1), (3, 0, 0.0, 0, 3, 0.0, 0)]
@@ -74,7 +77,7 @@ def test_summary_and_its_invariants(spark, placed):
 
 def test_documents(spark, placed, layout):
     cohort = spark.createDataFrame([(1,), (3,)], "hadm_id long")
-    docs = meta.video_documents(placed, cells.last_cells(placed), layout, cohort, n_bins=3,
+    docs = meta.video_documents(placed, layout, cohort, n_bins=3,
                                 bin_hours=1, shape=SHAPE)
     doc = docs.filter("hadm_id = 1").first()
     assert doc["video_shape"] == [3, 2, 2] and doc["window_hours"] == 3.0
@@ -168,3 +171,51 @@ def test_other_anchor(spark, layout):
         "edregtime", F.lit("2020-01-01 05:00:00").cast("timestamp_ntz"))
     out = cells.place_events(events, layout, n_bins=3, bin_hours=1, anchor="edregtime")
     assert rows(out, "time_bin") == [(1,)]
+
+
+@pytest.mark.parametrize("n_bins", [3, 62, 63, 130])
+def test_members_give_what_separate_aggregates_give(spark, n_bins):
+    rng = random.Random(n_bins)
+    data = [(i, 7 if i % 3 else i % 5, rng.choice([None, *range(20)]), rng.choice([1, 2, 3, 9]),
+             at("01-01 00:00") + timedelta(minutes=rng.randint(-60, 60 * n_bins + 90)), rng.choice([None, 1.0, 2.5, float(i)]),
+             at("01-01 00:00")) for i in range(900)]
+    events = spark.createDataFrame(data, "event_id long, hadm_id long, specimen_id long, itemid long, "
+                                         "charttime timestamp_ntz, valuenum double, admittime timestamp_ntz")
+    layout = spark.createDataFrame([(0, 0, 0, 1, "a"), (1, 0, 1, 2, "b"), (2, 1, 0, 3, "c")],
+                                   "index int, row int, col int, itemid long, label string")
+    placed = cells.place_events(events, layout, n_bins=n_bins, bin_hours=1)
+    chosen = spark.createDataFrame([(7,), (1,), (99,)], "hadm_id long")
+    folded = meta.members(placed, chosen, n_bins=n_bins, times=True)
+    assert rows(meta.cells_of(folded)) == rows(cells.last_cells(placed), "hadm_id", "time_bin", "row", "col", "itemid", "value")
+    frames = {(r.hadm_id, r.time_bin): r for r in meta.frames_of(folded, n_bins=n_bins, n_cells=4).collect()}
+    assert set(frames) == {(h, b) for h in (1, 7, 99) for b in range(n_bins)}
+    stays = {r.hadm_id: r for r in meta.summary_of(folded, n_bins=n_bins, n_cells=4).collect()}
+    records = {r.hadm_id: r for r in meta.documents_of(folded, layout, n_bins=n_bins, bin_hours=1, shape=(2, 2)).collect()}
+    held = {}
+    for r in placed.collect():
+        held.setdefault(r.hadm_id, {}).setdefault(r.time_bin, []).append(r)
+    for h in (1, 7, 99):
+        ids = {r.specimen_id for rs in held.get(h, {}).values() for r in rs} - {None}
+        assert stays[h].total_specimens_merged == records[h].video_summary.total_specimens_merged == len(ids)
+        assert records[h].video_summary.specimen_ids == sorted(ids)
+        for b in range(n_bins):
+            rs = held.get(h, {}).get(b, [])
+            f, d = frames[h, b], records[h].frames[b]
+            assert f.n_specimens_merged == len({r.specimen_id for r in rs} - {None}) == len(d.specimen_ids)
+            assert f.n_cells_filled == len({r.itemid for r in rs if r.valuenum is not None}) == len(d.labs_present or [])
+            assert len(d.charttimes_hours) == len({r.elapsed for r in rs})
+            assert stays[h].filled_cells == sum(frames[h, k].n_cells_filled for k in range(n_bins))
+    assert stays[7].frames_with_data == sum(frames[7, k].n_cells_filled > 0 for k in range(n_bins))
+
+
+def test_stays_of_the_window_count_without_a_cohort(spark):
+    data = [(1, 1, 5, 1, at("01-01 01:00"), 1.0), (2, 2, 6, 9, at("01-01 01:00"), 1.0), (3, 3, None, 1, at("01-01 01:00"), 1.0),
+            (4, 4, 7, 1, at("01-01 02:10"), 1.0), (5, 5, 8, 1, at("01-01 02:40"), 1.0)]
+    events = spark.createDataFrame([(*d, at("01-01 00:00")) for d in data],
+                                   "event_id long, hadm_id long, specimen_id long, itemid long, charttime timestamp_ntz, "
+                                   "valuenum double, admittime timestamp_ntz")
+    layout = spark.createDataFrame([(1, 0, 0)], "itemid long, row int, col int")
+    # Two whole bins in a window of two and a half hours.
+    seen = cells.window_events(events, layout, n_bins=2, bin_hours=1, window_hours=2.5)
+    out = meta.summary_of(meta.members(seen, n_bins=2), n_bins=2, n_cells=1)
+    assert rows(out, "hadm_id", "filled_cells", "total_specimens_merged") == [(1, 1, 1), (2, 0, 0), (4, 0, 0)]

@@ -119,7 +119,7 @@ def test_windows_with_gaps_and_other_time_zero(spark):
     assert cohort.in_window_ranking(late).count() == 0
     assert cohort.in_window_ranking(late, anchor="edregtime").count() == 1
     with pytest.raises(ValueError):
-        meta._frames_of(events, 0)
+        meta.members(events, n_bins=0)
 
 
 def test_step_profiles_share_a_schema(spark, tmp_path):

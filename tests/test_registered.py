@@ -55,6 +55,20 @@ def test_percentiles_run_few_shuffles(spark):
     assert shuffles_run(q.QUERIES["dist_summary_admission"](spark, SF)) <= 6
 
 
+def scans_run(df, column: str) -> int:
+    final = plan_of(df).split("+- == Initial Plan ==")[0]
+    return len(re.findall(rf"FileScan parquet \[[^\]]*{column}", final))
+
+
+@pytest.mark.parametrize("name, most", [("video_summary", 6), ("frame_metadata", 6), ("run_summary", 8),
+                                        ("frame_documents", 8)])
+def test_products_of_videos_share_one_pass(spark, name, most):
+    df = q.QUERIES[name](spark, SF)
+    assert shuffles_run(df) <= most
+    # Only one scan reads the values; types are ranked, named and anchored without them.
+    assert scans_run(df, "value#") == 1 and scans_run(df, "#") <= 4
+
+
 @pytest.mark.parametrize("name", ["dataset_totals", "table_profile"])
 def test_totals_copy_no_rows(spark, name):
     assert "Expand" not in plan_of(q.QUERIES[name](spark, SF))

@@ -2,7 +2,7 @@ import json
 
 import numpy as np
 import pytest
-from conftest import rows
+from conftest import at, rows
 from pyspark.sql import functions as F
 
 from tessera.operators import grid, normalize, tensor
@@ -185,10 +185,26 @@ def test_step_profile(spark, files):
     assert out["lab_images"].first()["n_tensors"] == 1
 
 
-def test_lineage_is_cut_into_the_named_folder(spark):
+def test_lineage_is_cut_into_the_named_folder(spark, tmp_path):
     df = spark.range(5).withColumn("x", F.col("id") * 2)
+    # The setting is the cluster's own; without it a folder given to the context serves.
+    if spark.sparkContext.getCheckpointDir() is None and not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(RuntimeError):
+            cut_lineage(df)
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
     cut = cut_lineage(df)
     assert cut.agg(F.sum("x")).first()[0] == 20
-    plan = cut._jdf.queryExecution().analyzed().toString()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    assert ("LogicalRDD" in plan) == bool(named)
+    assert "LogicalRDD" in cut._jdf.queryExecution().analyzed().toString()
+
+
+def test_only_what_is_asked_for_is_kept(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(jobs, "cut_lineage", lambda df: kept.append(df) or df)
+    events = spark.createDataFrame(
+        [(1, 1, 1, 50868, at("01-01 01:00"), 1.0, at("01-01 00:00"))],
+        "labevent_id long, hadm_id long, specimen_id long, itemid long, charttime timestamp_ntz, valuenum double, admittime timestamp_ntz")
+    vocabulary = spark.createDataFrame([(50868, "a", "b")], "itemid long, label string, category string")
+    for keep, wanted in ((False, 0), (True, 3)):
+        kept.clear()
+        videos = jobs.build_videos(events, vocabulary, shape=(1, 1), window_hours=2, bin_hours=1, keep=keep)
+        assert len(kept) == wanted and videos.summary.first()["filled_cells"] == 1
