@@ -7,7 +7,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +68,28 @@ def remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
+def least_by_hash(rows: DataFrame, column: str, limit: int) -> DataFrame:
+    """The ``limit`` rows of the least hashes of a column, so that each value is as likely to be taken.
+
+    A limit alone would send up to ``limit`` rows of every task to one; the threshold on the hash,
+    from a count of the values, leaves about twice the limit in all.
+    """
+    number = rows.agg(F.approx_count_distinct(column)).first()[0]
+    h = F.xxhash64(column)
+    if number > 2 * limit:
+        share = (2.0 * limit + 100) / number
+        rows = rows.filter(h < F.lit(int(-(2 ** 63) + share * 2 ** 64) if share < 1 else 2 ** 63 - 1))
+    return rows.orderBy(h, column).limit(limit)
+
+
+def spare(taken: Iterable[str], name: str) -> str:
+    """A column name that ``taken`` does not have, in any case of letters."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import trees
-from tessera.llm.common import remainder
+from tessera.llm.common import least_by_hash, remainder
 
 #: One test of a rule: feature, whether at most (else above), threshold.
 Test = tuple[str, bool, float]
@@ -26,9 +26,10 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, *,
                     limit: int = MAX_LABELLED) -> DataFrame:
     """Documents (doc_id, text) with column ``label``; at most ``limit`` labels, those of the
     least hashes of their ids, so that each label is as likely to be taken.  Rows without an id
-    or a label are no use and left out."""
-    picked = (labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna()
-              .dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
+    or a label are no use and left out; of several labels of one id the least counts."""
+    known = (labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna()
+             .groupBy("doc_id").agg(F.min("label").alias("label")))
+    picked = least_by_hash(known, "doc_id", limit)
     # Broadcast: the limit bounds it.
     return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 

@@ -58,16 +58,21 @@ def _grow(codes, cuts, grad, hess, rows, depth, min_rows, ridge):
 
 def boost(x: np.ndarray, y: np.ndarray, *, rounds: int = 30, depth: int = 3, rate: float = 0.3,
           bins: int = 32, min_rows: int = 10, ridge: float = 1.0, part: float = 0.7,
-          seed: int = 7) -> tuple[float, list[Node]]:
-    """Base log odds and trees whose sum times ``rate`` is in their values already."""
-    base = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+          seed: int = 7, weight: np.ndarray | None = None) -> tuple[float, list[Node]]:
+    """Base log odds and trees whose sum times ``rate`` is in their values already; rows count by
+    ``weight``, scaled to a mean of one."""
+    w = np.ones(len(y)) if weight is None else weight * (len(y) / weight.sum())
+    positive = float((w * y).sum())
+    base = float(np.log((positive + 1) / (len(y) - positive + 1)))
     cuts = [cut_points(x[:, f], bins) for f in range(x.shape[1])]
-    codes = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
+    codes = np.empty(x.shape, np.uint8, order="F")
+    for f, c in enumerate(cuts):
+        codes[:, f] = np.searchsorted(c, x[:, f], side="left")
     rng, z, trees = np.random.default_rng(seed), np.full(len(y), base), []
     for _ in range(rounds):
         p = sigmoid(z)
         rows = np.flatnonzero(rng.random(len(y)) < part)
-        tree = _scale(_grow(codes, cuts, p - y, p * (1 - p), rows, depth, min_rows, ridge), rate)
+        tree = _scale(_grow(codes, cuts, w * (p - y), w * p * (1 - p), rows, depth, min_rows, ridge), rate)
         trees.append(tree)
         z += evaluate(tree, x)
     return base, trees

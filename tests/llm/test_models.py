@@ -4,9 +4,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import pii, rule_ensemble, toxicity, trees
-from tessera.llm.common import table
+from tessera.llm.common import least_by_hash, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -124,6 +125,46 @@ def test_altered_forms_are_added(spark):
         assert model.spans(text) == ([], []), text
 
 
+def test_decoys_are_left_alone(spark):
+    model = pii.train(table(spark, SF, "documents"))
+    assert all(t >= pii.FLOOR for t in model.thresholds) and all(p >= 0.97 for p, _ in model.measured), model.measured
+    for text in ("order number 12345678 shipped", "ISBN 978 3 16 148410 0 is a book", "pop. 1234567890 people",
+                 "version 10 . 20 . 30 . 40", "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 fixed it", "on 2020-12-31 we left"):
+        assert model.spans(text) == ([], []), text
+    text = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and'
+    assert model.spans(text) == ([], [("secret", 9, 49)])
+
+
+def test_whole_names_and_hosts_are_proposed():
+    name, host = "n" * 70, " dot ".join(["part"] * 30)
+    text = f"write {name} at {host} now"
+    assert ("email", 6, len(text) - 4) in pii.candidates(text)
+    for text in ("a at b" + " dot c" * 30_000, ("x" * 50 + " [at] b.c ") * 5_000, "k9" * 100_000):
+        assert len(pii.candidates(text)) < len(text)
+
+
+def test_values_are_put_anywhere_in_a_text():
+    text = "word " * 100_000
+    spans = [c for c in range(40) for x, truth, _ in pii.examples(text, str(c), 16) if truth]
+    assert len(set(spans)) == 40
+
+
+def test_samples_are_bounded_before_the_last_task(spark):
+    ids = spark.range(200_000, numPartitions=8).withColumnRenamed("id", "doc_id")
+    rows = least_by_hash(ids, "doc_id", 500)
+    assert rows.count() == 500 and rows.distinct().count() == 500
+    want = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(500).collect()
+    assert sorted(rows.collect()) == sorted(want)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (xxhash64" in plan
+    assert least_by_hash(ids.limit(0), "doc_id", 5).count() == 0 and least_by_hash(ids.limit(7), "doc_id", 5).count() == 5
+
+
+def test_several_labels_of_one_id(spark, odd):
+    labels = spark.createDataFrame([(6, 1), (6, 0), (6, 1), (4, 1)], "doc_id bigint, quality int")
+    assert {(r.doc_id, r.label) for r in rule_ensemble.labelled_sample(odd, labels, "quality").collect()} == {(6, 0), (4, 1)}
+
+
 def test_trees_and_lasso():
     rng = np.random.default_rng(0)
     x = rng.random((800, 3))
