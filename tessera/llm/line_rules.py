@@ -113,12 +113,18 @@ def statistics(documents: DataFrame, id_column: str = "doc_id", host: str = "sou
         run, f"`{id_column}` {kinds[id_column]}, `{host}` {kinds[host]}, {_BASE}, lines {_LINE}")
 
 
-def frequent_lines(stats: DataFrame, host: str = "source", *, min_documents: int = 20,
+def frequent_lines(stats: DataFrame, id_column: str = "doc_id", host: str = "source", *, min_documents: int = 20,
                    share: float = 0.02) -> DataFrame:
-    """Lines of a host in more than ``min_documents`` and ``share`` of its documents."""
-    hosts = stats.groupBy(host).agg(F.count("*").alias("host_documents"))
-    found = (stats.select(host, F.explode("lines").alias("l"))
-             .groupBy(host, F.col("l.line").alias("line")).agg(F.count("*").alias("n_documents"))
+    """Lines of a host in more than ``min_documents`` and ``share`` of its documents.
+
+    Documents are distinct ids: rows that repeat an id count once, and rows without one don't count.
+    """
+    known = stats.filter(F.col(id_column).isNotNull())
+    hosts = (known.select(host, id_column).distinct()
+             .groupBy(host).agg(F.count("*").alias("host_documents")))
+    found = (known.select(host, id_column, F.explode("lines").alias("l"))
+             .select(host, id_column, F.col("l.line").alias("line")).distinct()
+             .groupBy(host, "line").agg(F.count("*").alias("n_documents"))
              .filter(F.col("n_documents") > min_documents))
     return (found.join(hosts, found[host].eqNullSafe(hosts[host]))
             .filter(F.col("n_documents") > share * F.col("host_documents"))
@@ -126,12 +132,17 @@ def frequent_lines(stats: DataFrame, host: str = "source", *, min_documents: int
 
 
 def _lost(stats: DataFrame, id_column: str, host: str, min_documents: int, share: float) -> DataFrame:
-    """Rows (_id, line, words): the frequent lines that documents hold."""
-    frequent = frequent_lines(stats, host, min_documents=min_documents, share=share)
+    """Rows (_id, _of, _row, line, words): the frequent lines that documents hold."""
+    frequent = frequent_lines(stats, id_column, host, min_documents=min_documents, share=share)
     frequent = frequent.select(F.col(host).alias("_host"), F.col("line").alias("_line"))
-    held = stats.select(id_column, host, F.explode("lines").alias("l"))
+    held = stats.select(id_column, host, "_row", F.explode("lines").alias("l"))
     return (held.join(frequent, (F.col("l.line") == F.col("_line")) & F.col(host).eqNullSafe(F.col("_host")))
-            .select(F.col(id_column).alias("_id"), F.col(host).alias("_of"), "l.line", "l.words"))
+            .select(F.col(id_column).alias("_id"), F.col(host).alias("_of"), "_row", "l.line", "l.words"))
+
+
+def _numbered(documents: DataFrame, id_column: str, host: str, text: str) -> DataFrame:
+    """Statistics, stored, with a number for each row: rows may agree in id and host."""
+    return materialize(statistics(documents, id_column, host, text).withColumn("_row", F.monotonically_increasing_id()))
 
 
 def cleaned(documents: DataFrame, id_column: str = "doc_id", host: str = "source", text: str = "text", *,
@@ -139,7 +150,7 @@ def cleaned(documents: DataFrame, id_column: str = "doc_id", host: str = "source
     """Rows (id, host, cleaned): the text without its host's frequent lines; the lines that stay are
     as they were, with their breaks.  A text that loses nothing, null or empty stays as it is.
     """
-    stats = materialize(statistics(documents, id_column, host, text))
+    stats = _numbered(documents, id_column, host, text)
     # Rows of one id and host share their lines: each loses those that are frequent in that host.
     drop = (_lost(stats, id_column, host, min_documents, share)
             .groupBy("_id", "_of").agg(F.collect_set("line").alias("drop")))
@@ -182,14 +193,15 @@ def apply(documents: DataFrame, id_column: str = "doc_id", host: str = "source",
 
     Rejected are documents of fewer than 50 words, those with over half of their words in
     repeated windows of three, and those that lose more than ``max_lost`` of their words.
-    Null and empty texts fail the first rule.  A null host is a host of its own.
+    Null and empty texts fail the first rule.  A null host is a host of its own.  Rows that repeat
+    an id are judged each by its own text and host.
     """
-    stats = materialize(statistics(documents, id_column, host, text))
+    stats = _numbered(documents, id_column, host, text)
     lost = (_lost(stats, id_column, host, min_documents, share)
-            .groupBy("_id").agg(F.sum("words").alias("n_lost")))
+            .groupBy("_row").agg(F.sum("words").alias("n_lost")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = (stats.drop("lines").join(lost, F.col(id_column).eqNullSafe(F.col("_id")), "left")
-           .withColumn("n_lost", F.coalesce("n_lost", F.lit(0)).cast("long")).drop("_id")
+    out = (stats.drop("lines").join(lost, "_row", "left").drop("_row")
+           .withColumn("n_lost", F.coalesce("n_lost", F.lit(0)).cast("long"))
            .withColumn("base_failed", failed))
     return out.withColumn(
         "kept", ~F.col("base_failed") & (F.col("n_lost") <= max_lost * F.col("n_words")))

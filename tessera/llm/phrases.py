@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.lookups import join_by_key
 from tessera.llm import words as W
-from tessera.llm.common import large_binary, release, slices, stored
+from tessera.llm.common import large_binary, release, slices, spare, stored
 
 WINDOW, GRAM = 20, 6
 #: Contexts of one anchor, and contexts of one automaton.
@@ -79,22 +79,29 @@ def _anchors(h: np.ndarray, first: np.ndarray, window: int, gram: int):
 
 def contexts(documents: DataFrame, id_column: str, text: str, *, window: int = WINDOW,
              gram: int = GRAM) -> DataFrame:
-    """Rows (anchor, context, id, start, windows): hashes, the first window's place, their number."""
+    """Rows (anchor, context, id, mark, start, windows): hashes, the row's id and text hash, the first
+    window's place, their number."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text):
-                found = W.words(*W.buffers(part.column(text)))
+            for part in slices(batch, "text"):
+                found = W.words(*W.buffers(part.column("text")))
                 anchor, context, owner, start, count = _anchors(found.hashes(), found.first, window, gram)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)),
-                     part.column(id_column).take(pa.array(owner)), pa.array(start.astype(np.int32)),
+                     *(part.column(c).take(pa.array(owner)) for c in ("id", "mark")), pa.array(start.astype(np.int32)),
                      pa.array(count.astype(np.int32))],
-                    names=["anchor", "context", "id", "start", "windows"])
+                    names=["anchor", "context", "id", "mark", "start", "windows"])
+
+    source = _marked(documents, id_column, text)
+    kind = source.schema["id"].dataType.simpleString()
+    return source.mapInArrow(run, f"anchor bigint, context bigint, id {kind}, mark bigint, start int, windows int")
+
 
-    source = documents.select(id_column, text).filter(F.col(id_column).isNotNull())
-    kind = source.schema[id_column].dataType.simpleString()
-    return source.mapInArrow(run, f"anchor bigint, context bigint, id {kind}, start int, windows int")
+def _marked(documents: DataFrame, id_column: str, text: str) -> DataFrame:
+    """Rows (id, mark, text) with an id; the hash of the text tells rows of one id apart."""
+    return documents.filter(F.col(id_column).isNotNull()).select(
+        F.col(id_column).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
 
 
 def _order() -> Column:
@@ -104,37 +111,37 @@ def _order() -> Column:
 
 
 def _phrases(placed: DataFrame, kind: str, window: int) -> DataFrame:
-    """Cut contexts from texts: rows (anchor, hot, id, start, phrase); hot ones window by window."""
+    """Cut contexts from texts: rows (anchor, hot, id, mark, start, phrase); hot ones window by window."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 rows: list[tuple] = []
-                for doc, raw, cuts in zip(part.column("id").to_pylist(),
+                for doc, mark, raw, cuts in zip(part.column("id").to_pylist(), part.column("mark").to_pylist(),
                                           large_binary(part.column("text")).to_pylist(),
                                           part.column("cuts").to_pylist()):
                     words = raw.split()  # the six white-space characters, as words are defined
                     for cut in cuts:
                         a, n = cut["start"], cut["windows"]
                         if not cut["hot"]:
-                            rows.append((cut["anchor"], False, doc, a, b" ".join(words[a:a + n + window - 1])))
+                            rows.append((cut["anchor"], False, doc, mark, a, b" ".join(words[a:a + n + window - 1])))
                         else:
-                            rows += [(cut["anchor"], True, doc, s, b" ".join(words[s:s + window]))
+                            rows += [(cut["anchor"], True, doc, mark, s, b" ".join(words[s:s + window]))
                                      for s in range(a, a + n)]
                 if rows:
-                    anchor, hot, doc, start, phrase = zip(*rows)
+                    anchor, hot, doc, mark, start, phrase = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(anchor, pa.int64()), pa.array(hot), pa.array(doc).cast(part.column("id").type),
-                         pa.array(start, pa.int32()), pa.array(phrase, pa.binary())],
-                        names=["anchor", "hot", "id", "start", "phrase"])
+                         pa.array(mark, pa.int64()), pa.array(start, pa.int32()), pa.array(phrase, pa.binary())],
+                        names=["anchor", "hot", "id", "mark", "start", "phrase"])
 
-    return placed.mapInArrow(run, f"anchor bigint, hot boolean, id {kind}, start int, phrase binary")
+    return placed.mapInArrow(run, f"anchor bigint, hot boolean, id {kind}, mark bigint, start int, phrase binary")
 
 
-def covered_in(members: list[tuple[int, int, bytes]], window: int = WINDOW) -> Iterator[tuple[int, int]]:
-    """(id, start) of the windows of contexts, given in order, that an earlier place holds too."""
+def covered_in(members: list[tuple[int, int, int, bytes]], window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
+    """(id, mark, start) of the windows of contexts, given in order, that an earlier place holds too."""
     known: dict[bytes, int] = {}
-    lines = [tuple(known.setdefault(w, len(known)) for w in phrase.split()) for _, _, phrase in members]
+    lines = [tuple(known.setdefault(w, len(known)) for w in phrase.split()) for *_, phrase in members]
     seen = Counter(line[j:j + window] for line in lines for j in range(len(line) - window + 1))
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for number, (phrase, n) in enumerate(seen.items()):
@@ -143,48 +150,50 @@ def covered_in(members: list[tuple[int, int, bytes]], window: int = WINDOW) -> I
     if not len(automaton):
         return
     automaton.make_automaton()
-    met: set[int] = set()
-    for (doc, start, _), line in zip(members, lines):
+    met: dict[int, tuple[int, int]] = {}
+    for (doc, mark, start, _), line in zip(members, lines):
         for end, number in automaton.iter(line):
-            if number in met:
-                yield doc, start + end - window + 1
-            met.add(number)
+            at = start + end - window + 1
+            # The same place in another row of this id is no earlier one.
+            if met.setdefault(number, (doc, at)) != (doc, at):
+                yield doc, mark, at
 
 
 def _automata(phrases: DataFrame, kind: str, window: int, most: int) -> DataFrame:
-    """Rows (id, start, stop) of covered words, from phrases in shards by anchor."""
+    """Rows (id, mark, start, stop) of covered words, from phrases in shards by anchor."""
 
     def run(batches):
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes]] = []
         last = None
 
         def flush():
             rows = list(covered_in(held, window))
             held.clear()
-            doc, start = zip(*rows) if rows else ((), ())
+            doc, mark, start = zip(*rows) if rows else ((), (), ())
             start = np.array(start, np.int32)
             return pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(start), pa.array(start + np.int32(window))],
-                names=["id", "start", "stop"])
+                [pa.array(doc, pa.int64()), pa.array(mark, pa.int64()), pa.array(start), pa.array(start + np.int32(window))],
+                names=["id", "mark", "start", "stop"])
 
         for batch in batches:
-            for anchor, doc, start, phrase in zip(*(batch.column(c).to_pylist() for c in
-                                                    ("anchor", "id", "start", "phrase"))):
+            for anchor, *member in zip(*(batch.column(c).to_pylist() for c in
+                                         ("anchor", "id", "mark", "start", "phrase"))):
                 # An automaton takes whole anchors; none has more contexts than `most`.
                 if anchor != last and len(held) >= most:
                     yield flush()
                 last = anchor
-                held.append((doc, start, phrase))
+                held.append(tuple(member))
         yield flush()
 
-    sharded = (phrases.select("anchor", "id", "start", "phrase").repartition("anchor")
+    sharded = (phrases.select("anchor", "id", "mark", "start", "phrase").repartition("anchor")
                .sortWithinPartitions("anchor", "id", "start"))
-    return sharded.mapInArrow(run, "id bigint, start int, stop int").withColumn("id", F.col("id").cast(kind))
+    return sharded.mapInArrow(run, "id bigint, mark bigint, start int, stop int").withColumn("id", F.col("id").cast(kind))
 
 
 def covered_words(documents: DataFrame, id_column: str = "doc_id", text: str = "text", *,
                   window: int = WINDOW, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
-    """Rows (id, start, stop): runs of words, from 0, that covered windows hold; runs may overlap."""
+    """Rows (id, mark, start, stop): runs of words, from 0, that covered windows hold; runs may overlap.
+    They belong to the rows of that id whose text has the hash ``mark``."""
     kind = documents.schema[id_column].dataType.simpleString()
     found = contexts(documents, id_column, text, window=window, gram=gram)
     recurring = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
@@ -198,57 +207,60 @@ def covered_words(documents: DataFrame, id_column: str = "doc_id", text: str = "
     # What equals an earlier context is covered; of the rest only anchors with several contexts go on.
     marked = (places.withColumn("at", _order()).join(first.join(several, "anchor", "left"), ["anchor", "context"])
               .filter(earlier | F.col("n").isNotNull())
-              .select("id", "start", "windows", earlier.alias("earlier"),
+              .select("id", "mark", "start", "windows", earlier.alias("earlier"),
                       F.when(~earlier, F.col("anchor")).alias("anchor"), (F.col("n") > hot_contexts).alias("hot")))
     marked = stored(marked)
     release(documents.sparkSession)
     repeated = marked.filter("earlier").select(
-        "id", "start", (F.col("start") + F.col("windows") + (window - 1)).alias("stop"))
+        "id", "mark", "start", (F.col("start") + F.col("windows") + (window - 1)).alias("stop"))
 
     open_ = marked.filter("NOT earlier")
-    cuts = open_.groupBy("id").agg(F.collect_list(F.struct(
+    cuts = open_.groupBy("id", "mark").agg(F.collect_list(F.struct(
         "anchor", "start", "windows", "hot")).alias("cuts"))
-    texts = documents.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    phrases = stored(_phrases(texts.join(cuts, "id"), kind, window))
+    # Repeated rows would be cut once each, with the same places.
+    phrases = stored(_phrases(_marked(documents, id_column, text).join(cuts, ["id", "mark"]), kind, window))
     release(documents.sparkSession)
     by_automata = _automata(phrases.filter("NOT hot"), kind, window, hot_contexts)
 
     hot = phrases.filter("hot").select(
-        "anchor", F.xxhash64("phrase").alias("h"), F.xxhash64(F.lit(1), "phrase").alias("h2"), "id", "start",
+        "anchor", F.xxhash64("phrase").alias("h"), F.xxhash64(F.lit(1), "phrase").alias("h2"), "id", "mark", "start",
         _order().alias("at"))
     earliest = hot.groupBy("anchor", "h", "h2").agg(F.min("at").alias("first"))
     by_hash = (hot.join(earliest, ["anchor", "h", "h2"]).filter("at > first")
-               .select("id", "start", (F.col("start") + window).alias("stop")))
+               .select("id", "mark", "start", (F.col("start") + window).alias("stop")))
     return repeated.union(by_automata).union(by_hash)
 
 
 def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text: str = "text", *,
-                   window: int = WINDOW, keep: Sequence[str] = ()) -> DataFrame:
+                   window: int = WINDOW, keep: Sequence[str] = (), prefix: str = "") -> DataFrame:
     """Rows (id, n_words, n_removed, kept) and the columns ``keep``: kept is the words that stay,
-    joined by one space.
+    joined by one space.  New columns get ``prefix``, for tables that have columns of these names.
 
     Null and empty texts have no words and an empty rest.  Rows without an id take no part: they
-    cover nothing and keep all.  Rows that repeat an id count as the same place, so they don't
-    cover each other.
+    cover nothing and keep all.  Rows that repeat an id count as one document: equal texts of theirs
+    are the same places, which don't cover each other, and in different texts the earlier start
+    covers the later; each row loses only words of its own text.
     """
     runs = covered_words(documents, id_column, text, window=window)
+    own, mark, starts, stops = (spare(documents.columns, c) for c in ("_id", "_mark", "_starts", "_stops"))
     # Runs of one document are at most its windows.
-    runs = (runs.groupBy(F.col("id").alias("_id"))
-            .agg(F.collect_list("start").alias("_starts"), F.collect_list("stop").alias("_stops")))
+    runs = (runs.groupBy(F.col("id").alias(own), F.col("mark").alias(mark))
+            .agg(F.collect_list("start").alias(starts), F.collect_list("stop").alias(stops)))
     carried = [id_column, *keep]
+    made = {prefix + "n_words": "bigint", prefix + "n_removed": "bigint", prefix + "kept": "string"}
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, text):
                 counts, removed, kept = [], [], []
-                for raw, starts, stops in zip(large_binary(part.column(text)).to_pylist(),
-                                              part.column("_starts"), part.column("_stops")):
+                for raw, begin, end in zip(large_binary(part.column(text)).to_pylist(),
+                                           part.column(starts), part.column(stops)):
                     words = raw.split()
                     n = len(words)
-                    if starts.is_valid:
+                    if begin.is_valid:
                         change = np.zeros(n + 1, np.int64)
-                        np.add.at(change, starts.values.to_numpy(), 1)
-                        np.add.at(change, stops.values.to_numpy(), -1)
+                        np.add.at(change, begin.values.to_numpy(), 1)
+                        np.add.at(change, end.values.to_numpy(), -1)
                         words = [words[i] for i in np.flatnonzero(np.cumsum(change)[:n] == 0)]
                     counts.append(n)
                     removed.append(n - len(words))
@@ -256,12 +268,12 @@ def remove_repeats(documents: DataFrame, id_column: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in carried), pa.array(counts, pa.int64()),
                      pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                    names=[*carried, "n_words", "n_removed", "kept"])
+                    names=[*carried, *made])
 
-    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carried)
+    kinds = {c: documents.schema[c].dataType.simpleString() for c in carried} | made
     joined = documents.select(*carried, *({text} - set(carried))).join(
-        runs, F.col(id_column) == F.col("_id"), "left").drop("_id")
-    return joined.mapInArrow(run, f"{kinds}, n_words bigint, n_removed bigint, kept string")
+        runs, (F.col(id_column) == F.col(own)) & (F.xxhash64(text) == F.col(mark)), "left").drop(own, mark)
+    return joined.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in kinds.items()))
 
 
 def digests(documents: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ repeat a shingle have the bands of weights 1 + ln of the count as well, for more
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -106,7 +108,7 @@ def _per_text(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 
 
 def fingerprints(documents: DataFrame, id_column: str, text: str, *, bands: int = BANDS,
-                 rows: int = ROWS, registers: int = REGISTERS) -> DataFrame:
+                 rows: int = ROWS, registers: int = REGISTERS, keep: Sequence[str] = ()) -> DataFrame:
     """Per text: 128 bits that name its set of shingles, the set's size, its band keys and sketch.
 
     Without repeated shingles both weights give the same bands, so only texts with some have
@@ -139,16 +141,17 @@ def fingerprints(documents: DataFrame, id_column: str, text: str, *, bands: int
                 wide = np.arange(n + 1, dtype=np.int32) * sketch.shape[1]
                 names = [_per_text(W.mix(gram ^ np.uint64(salt)), owner, n) for salt in (0x51ED27, 0x7A3B19C5)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(id_column), *(pa.array(x.view(np.int64)) for x in names),
+                    [*(part.column(c) for c in carried), *(pa.array(x.view(np.int64)) for x in names),
                      pa.array(size.astype(np.int32)),
                      pa.ListArray.from_arrays(ends, pa.array(keys[new].view(np.int64))),
                      pa.ListArray.from_arrays(wide, pa.array(sketch.ravel().view(np.int64)))],
-                    names=[id_column, "set1", "set2", "size", "keys", "sketch"])
+                    names=[*carried, "set1", "set2", "size", "keys", "sketch"])
 
-    source = documents.select(id_column, text)
-    kind = source.schema[id_column].dataType.simpleString()
+    carried = [id_column, *keep]
+    source = documents.select(*carried, text)
+    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in carried)
     return source.mapInArrow(
-        run, f"`{id_column}` {kind}, set1 bigint, set2 bigint, size int, keys array<bigint>, sketch array<bigint>")
+        run, f"{kinds}, set1 bigint, set2 bigint, size int, keys array<bigint>, sketch array<bigint>")
 
 
 def shingle_sets(documents: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -219,8 +222,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str = "text", *,
                     bands: int = BANDS, rows: int = ROWS, registers: int = REGISTERS,
-                    pivots: int = PIVOTS) -> DataFrame:
-    """One row per document: (id, class_id), the least id of its class.
+                    pivots: int = PIVOTS, mark: str | None = None) -> DataFrame:
+    """One row per document: (id, class_id), the least id of its class; with ``mark`` the value of
+    that column too, so that rows of one id can be told apart.
 
     Texts with equal sets of shingles are one class from the start, so copies make no pairs.
     In each bucket of the others a few pivots, the same in every bucket that they share, are
@@ -229,11 +233,14 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
     0.8, each in the least bucket it shares.  All links are verified exactly.
 
     Null and empty texts have no shingles and stay alone; a text of one to four words is one
-    shingle.  Rows without an id have no class.  Rows that repeat an id are one vertex.
+    shingle.  Rows without an id have no class.  Rows that repeat an id are one vertex, but equal
+    texts of several ids are one class whichever rows they are.
     """
     words, agree = registers // 16, agreeing_registers(registers)
-    prints = materialize(fingerprints(documents, id_column, text, bands=bands, rows=rows, registers=registers)
-                         .withColumnRenamed(id_column, "id"))
+    named = documents.select(F.col(id_column).alias("id"), F.col(text).alias("text"),
+                             *([F.col(mark).alias("mark")] if mark else []))
+    kept = ["mark"] if mark else []
+    prints = materialize(fingerprints(named, "id", "text", bands=bands, rows=rows, registers=registers, keep=kept))
     known = prints.filter(F.col("id").isNotNull() & (F.col("size") > 0))
     classes = materialize(known.groupBy("set1", "set2", "size").agg(
         F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"), F.min_by("sketch", "id").alias("sketch")))
@@ -256,8 +263,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
         .select("a", "b"))
 
     involved = members.select(F.col("rep").alias("id")).distinct()
-    source = documents.select(F.col(id_column).alias("id"), text).join(involved, "id", "left_semi")
-    sets = materialize(shingle_sets(source, "id", text))
+    sets = materialize(shingle_sets(named.join(involved, "id", "left_semi"), "id", "text"))
     linked = materialize(verified(star, sets))
     first = components(linked)
 
@@ -293,8 +299,8 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text: str =
         F.col("set1").alias("_s1"), F.col("set2").alias("_s2"), "_size",
         F.coalesce("root", "rep").alias("class_id"))
     roots = materialize(roots)
-    out = prints.select("id", "set1", "set2", "size").join(
+    out = prints.select("id", *kept, "set1", "set2", "size").join(
         roots, (F.col("set1") == F.col("_s1")) & (F.col("set2") == F.col("_s2"))
         & (F.col("size") == F.col("_size")), "left")
     mine = F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id"))
-    return out.select(F.col("id").alias(id_column), mine.alias("class_id"))
+    return out.select(F.col("id").alias(id_column), *([F.col("mark").alias(mark)] if mark else []), mine.alias("class_id"))

@@ -157,7 +157,7 @@ WITH cut AS (
 ), dup AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY doc_id
 ), frequent AS (
-  SELECT host, normal FROM worded JOIN (SELECT host, count(*) AS docs FROM cut GROUP BY host) USING (host)
+  SELECT host, normal FROM worded JOIN (SELECT host, count(DISTINCT doc_id) AS docs FROM cut GROUP BY host) USING (host)
   GROUP BY host, normal, docs HAVING count(DISTINCT doc_id) > greatest(20, 0.02 * docs)
 ), lost AS (
   SELECT doc_id, sum(words) AS n_lost FROM worded JOIN frequent USING (host, normal) GROUP BY doc_id

@@ -139,3 +139,22 @@ def test_odd_passages(odd, none):
     # A row that repeats an id is the same place; its words also start in row 8.
     assert rows[11].n_words == 25 and rows[11].n_removed == 25
     assert phrases.remove_repeats(none).count() == 0
+
+
+def test_texts_of_one_id_lose_only_their_own_words(spark):
+    shared, own, long = sentence(900, 30), sentence(901, 30), sentence(902, 90)
+    rows = [(0, shared), (1, f"{own} {shared}"), (1, "ab cd ef gh"), (1, f"{long} {shared} {long}"), (2, own),
+            (3, long), (3, long), (3, f"x {long}"), (None, shared), (4, None), (4, sentence(903, 25)), (4, sentence(903, 25))]
+    docs = spark.createDataFrame([document(*r) for r in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in phrases.remove_repeats(docs).collect()), key=repr)
+    # The second `long` of one text, and what an earlier id or an earlier start of the same id holds.
+    assert got == sorted([(0, 30, 0), (1, 60, 30), (1, 4, 0), (1, 210, 120), (2, 30, 30), (3, 90, 90), (3, 90, 90), (3, 91, 90),
+                          (None, 30, 0), (4, 0, 0), (4, 25, 0), (4, 25, 0)], key=repr)
+
+
+def test_rows_of_one_id_keep_their_marks(spark):
+    same, other = sentence(910, 60), sentence(911, 60)
+    rows = [(0, same), (1, same), (1, other), (2, None), (None, same)]
+    docs = spark.createDataFrame([(*r, r[1] or "") for r in rows], "doc_id int, text string, label string")
+    got = {(r.doc_id, r.label[:20]): r.class_id for r in probminhash.near_duplicates(docs, mark="label").collect()}
+    assert got == {(0, same[:20]): 0, (1, same[:20]): 0, (1, other[:20]): 1, (2, ""): 2, (None, same[:20]): None}

@@ -73,6 +73,17 @@ def test_cleaned_texts_equal_brute_force(spark):
         assert len((d[1] or "").split()) - len(rest.split()) == lost[d[0]], d
 
 
+def test_rows_of_one_id_are_judged_alone(spark):
+    line = "share this page now"
+    docs = [document(i, f"{line}\n{sentence(i, 71)}", "h") for i in range(30)]
+    docs += [document(50, f"{line}\n{sentence(50, 71)}", "h")] * 3 + [document(50, sentence(51, 60), "h")]
+    docs += [document(60, f"{line}\n{sentence(60, 71)}", "other")] * 25 + [document(60, f"{line}\n{sentence(61, 71)}", "h")]
+    docs += [document(None, f"{line}\n{sentence(70 + i, 60)}", "nameless") for i in range(25)]
+    got = sorted(((r.doc_id, r.source, r.n_lost, r.kept) for r in line_rules.apply(spark.createDataFrame(docs, SCHEMA)).collect()), key=repr)
+    want = [(i, "h", 4, True) for i in range(30)] + [(50, "h", 4, True)] * 3 + [(50, "h", 0, True), (60, "h", 4, True)]
+    assert got == sorted(want + [(60, "other", 0, True)] * 25 + [(None, "nameless", 0, True)] * 25, key=repr)
+
+
 def test_search_equals_brute_force(spark):
     rng = np.random.default_rng(8)
     data = [(i, rng.normal(size=40).tolist()) for i in range(300)]
