@@ -1,5 +1,6 @@
 """Readers on files that are not as clean as the test tables."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -129,3 +130,46 @@ def test_step_profiles_share_a_schema(spark, tmp_path):
     rows = {r.step: r for r in jobs.step_profiles(steps, sizes=True).collect()}
     assert rows["one"].nulls == {"hadm_id": 0} and rows["two"].nulls == {}
     assert rows["one"].column_names == ["hadm_id"] and rows["two"].size_mb > 0 and rows["one"].n_files > 0
+
+
+def csv_file(path, n, seed, newline):
+    """Rows with quotes, separators and line breaks inside quotes, some of them long."""
+    rng = random.Random(seed)
+    records = []
+    for i in range(n):
+        note = "".join(rng.choices(['a', 'b c', ',', '\n', '"', newline, 'é', "x" * 90, '\n\n'], k=rng.choice((0, 1, 1, 3, 9, 40))))
+        records.append((str(i), note, rng.choice(("", "z"))))
+    quoted = lambda v: '"' + v.replace('"', '""') + '"' if rng.random() < 0.2 or set(v) & set('",\n\r') else v
+    text = newline.join([",".join(map(quoted, r)) for r in [("id", "no,te", "flag"), *records]])
+    path.write_bytes((text.replace("id,", "id,", 1) + newline).encode())
+    return {(i, note or None, flag or None) for i, note, flag in records}
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+@pytest.mark.parametrize("split", ["64", "1000", "128m"])
+def test_line_breaks_in_quotes_are_read_in_splits(spark, tmp_path, newline, split):
+    want = csv_file(tmp_path / "a.csv", 150, 1, newline) | csv_file(tmp_path / "b.csv", 40, 2, newline)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        schema = T.StructType([T.StructField("id", T.LongType())])
+        got = text.read_csv(spark, str(tmp_path), schema, line_breaks=True)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((int(i), *rest)) for i, *rest in want)
+        if split == "1000":
+            assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+    finally:
+        for k, value in old.items():
+            spark.conf.set(k, value)
+
+
+def test_files_with_another_header_or_broken_rows_fail(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.LongType())])
+    (tmp_path / "a.csv").write_text('id,note\n1,"a\nb"\n')
+    assert text.read_csv(spark, str(tmp_path), schema, line_breaks=True).collect() == [(1, "a\nb")]
+    (tmp_path / "b.csv").write_text("note,id\nx,2\n")
+    with pytest.raises(Exception, match="header differs"):
+        text.read_csv(spark, str(tmp_path), schema, line_breaks=True).collect()
+    (tmp_path / "b.csv").write_text("id,note\n2,y,3\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        text.read_csv(spark, str(tmp_path), schema, line_breaks=True).collect()
