@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.functions.lookups import join_by_key
+from tessera.functions.ordered import rank_key
 from tessera.functions.timing import MICROS_PER_HOUR, after_anchor, elapsed_micros
-from tessera.functions.values import percent
+from tessera.functions.values import percent, present
+from tessera.operators.link import TIEBREAK
 
 
 def completeness(summary: DataFrame, *, at_least: float = 0.6) -> DataFrame:
@@ -40,6 +43,35 @@ def sliding_windows(events: DataFrame, layout: DataFrame, *, window_hours: int,
         "time_bin", F.floor(since / F.lit(bin_hours * MICROS_PER_HOUR)).cast("int"))
 
 
+def sliding_cells(events: DataFrame, layout: DataFrame, *, window_hours: int, stride_hours: int,
+                  bin_hours: float, tiebreak: Sequence[str] = TIEBREAK) -> DataFrame:
+    """``(hadm_id, window_start, time_bin, row, col, itemid, value)``: the last present value per
+    window, bin and place, windows as in :func:`sliding_windows`.
+
+    Windows share their events.  Starts, bins and ends of all windows fall on borders of panes as
+    long as the greatest common divisor of stride, bin and window: the last value of each pane is
+    found once, and only panes are repeated, once per window that they lie in.
+    """
+    stride, length, width = (round(h * MICROS_PER_HOUR) for h in (stride_hours, window_hours, bin_hours))
+    pane = gcd(stride, length, width)
+    inside = (events.filter(F.col("hadm_id").isNotNull() & after_anchor() & present("valuenum"))
+              .join(F.broadcast(layout.select("itemid", "row", "col")), "itemid"))
+    number = F.floor(elapsed_micros("charttime", "admittime") / F.lit(pane))
+    order = rank_key(inside, "charttime", tiebreak)
+    keys = ["hadm_id", "row", "col", "itemid"]
+    # Between windows, with a stride above the window, a pane lies in none.
+    first, last = (F.greatest(F.floor((F.col("_start") - length) / F.lit(stride)) + 1, F.lit(0)),
+                   F.floor(F.col("_start") / F.lit(stride)))
+    panes = (inside.groupBy(*keys, (number * F.lit(pane)).alias("_start"))
+             .agg(F.max_by("valuenum", order).alias("_value"), F.max(order).alias("_order")).filter(first <= last))
+    repeated = panes.withColumn("_k", F.explode(F.sequence(first, last)))
+    since = F.col("_start") - F.col("_k") * F.lit(stride)
+    return (repeated.withColumn("window_start", (F.col("_k") * F.lit(stride_hours)).cast("int"))
+            .withColumn("time_bin", F.floor(since / F.lit(width)).cast("int"))
+            .groupBy("hadm_id", "window_start", "time_bin", "row", "col", "itemid")
+            .agg(F.max_by("_value", "_order").cast("float").alias("value")))
+
+
 def _until_next(cells: DataFrame, n_bins: int) -> DataFrame:
     """Repeat each cell over the bins up to the next observation of its channel."""
     channel = Window.partitionBy("hadm_id", "row", "col").orderBy("time_bin")

@@ -53,12 +53,16 @@ def _by_category() -> list:
 
 
 def layout_for(ranked: DataFrame, vocabulary: DataFrame, shape: tuple[int, int] = VIDEO_SHAPE, *,
-               by_category: bool = True) -> DataFrame:
+               by_category: bool = True, best_ranks: bool = False) -> DataFrame:
     """Layout of ranked types that the vocabulary knows, by category or by rank.
 
-    Types missing from the vocabulary are left out, so the grid's end may stay empty.
+    Types missing from the vocabulary are left out, so the grid's end may stay empty.  Of more
+    types than the grid has places the first in that order get one, as published, or with
+    ``best_ranks`` the most frequent; :func:`left_out` lists the others.
     """
     chosen = vocabulary.join(F.broadcast(ranked.select("itemid", "rank")), "itemid")
+    if best_ranks:
+        chosen = chosen.orderBy("rank").limit(shape[0] * shape[1])
     return _lay_out(chosen, _by_category() if by_category else [F.col("rank")], shape)
 
 
@@ -74,6 +78,15 @@ def missing_from_vocabulary(ranked: DataFrame, vocabulary: DataFrame) -> DataFra
     return ranked.join(vocabulary.select("itemid"), "itemid", "left_anti")
 
 
+def left_out(ranked: DataFrame, layout: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(itemid, n_events, rank, reason)`` of chosen types that have no place in the layout."""
+    # A layout has H·W rows at most, the ranked types are a top-k list.
+    known = ranked.join(vocabulary.select("itemid").distinct().withColumn("_known", F.lit(True)), "itemid", "left")
+    return known.join(F.broadcast(layout.select("itemid")), "itemid", "left_anti").select(
+        "itemid", "n_events", "rank",
+        F.when(F.col("_known"), "no place").otherwise("not in vocabulary").alias("reason"))
+
+
 def positions(layout: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """Every grid place with its type and label; free places say ``(empty)``."""
     height, width = shape

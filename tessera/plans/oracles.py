@@ -310,6 +310,15 @@ MAIN: dict[str, str] = {
                      row_number() OVER (ORDER BY count(*) DESC, itemid) AS rank
               FROM ev0 GROUP BY itemid ORDER BY n_events DESC, itemid LIMIT 100)
         WHERE itemid NOT IN (SELECT itemid FROM voc)""",
+    "grid_left_out": """
+        SELECT CAST(itemid AS BIGINT) AS itemid, n_events, rank,
+               CASE WHEN k IS NULL THEN 'not in vocabulary' ELSE 'no place' END AS reason
+        FROM (SELECT *, row_number() OVER (ORDER BY k IS NULL, category NULLS LAST, itemid) AS place
+              FROM (SELECT itemid, count(*) AS n_events,
+                           row_number() OVER (ORDER BY count(*) DESC, itemid) AS rank
+                    FROM ev0 GROUP BY itemid ORDER BY n_events DESC, itemid LIMIT 100)
+              LEFT JOIN (SELECT itemid, category, itemid AS k FROM voc) USING (itemid))
+        WHERE k IS NULL OR place > 32""",
     "grid_by_category": """
         SELECT coalesce(category, '(no category)') AS category, count(*) AS n_cells,
                min(index) AS first_index,

@@ -285,6 +285,14 @@ def grid_missing_labs(s, d):
                                                                     whole("rank"))
 
 
+@query
+def grid_left_out(s, d):
+    """A grid of four by eight for the hundred most frequent types: who has no place, and why."""
+    ranked = grid.top_labs(v.ev_raw(s, d), 100, linked_only=True)
+    layout = grid.layout_for(ranked, v.voc(s, d), (4, 8))
+    return grid.left_out(ranked, layout, v.voc(s, d)).select(whole("itemid"), "n_events", whole("rank"), "reason")
+
+
 @query
 def grid_by_category(s, d):
     return grid.layout_by_category(ev_layout(s, d)).select(
@@ -572,11 +580,9 @@ def time_since_last(s, d):
 
 @query
 def sliding_windows(s, d):
-    placed = features.sliding_windows(v.ev(s, d), ev_layout(s, d), window_hours=240,
-                                      stride_hours=120, bin_hours=10)
-    keys = ("hadm_id", "window_start", "time_bin", "row", "col")
-    return cells.last_cells(placed, keys=keys).select(
-        *keys, F.col("value").cast("double").alias("value"))
+    return features.sliding_cells(
+        v.ev(s, d), ev_layout(s, d), window_hours=240, stride_hours=120, bin_hours=10).select(
+        "hadm_id", "window_start", "time_bin", "row", "col", F.col("value").cast("double").alias("value"))
 
 
 @query
@@ -728,11 +734,9 @@ def frame_members(s, d):
 @query
 def sliding_windows_sparse(s, d):
     """Windows shorter than their stride: events between them fall into none."""
-    placed = features.sliding_windows(v.ev(s, d), ev_layout(s, d), window_hours=60,
-                                      stride_hours=120, bin_hours=10)
-    keys = ("hadm_id", "window_start", "time_bin", "row", "col")
-    return cells.last_cells(placed, keys=keys).select(
-        *keys, F.col("value").cast("double").alias("value"))
+    return features.sliding_cells(
+        v.ev(s, d), ev_layout(s, d), window_hours=60, stride_hours=120, bin_hours=10).select(
+        "hadm_id", "window_start", "time_bin", "row", "col", F.col("value").cast("double").alias("value"))
 
 
 @query

@@ -49,6 +49,17 @@ def test_layout_is_cut_after_the_category_sort(spark):
     assert rows(grid.layout_for(ranked, vocabulary(spark), (1, 2)), "itemid") == [(3,), (5,)]
 
 
+def test_types_without_a_place_are_reported_with_the_reason(spark):
+    ranked = grid.top_labs(labs(spark, {2: 9, 3: 8, 5: 1, 8: 5}), 4)
+    layout = grid.layout_for(ranked, vocabulary(spark), (1, 2))
+    assert rows(grid.left_out(ranked, layout, vocabulary(spark)), "itemid", "rank", "reason") == [
+        (2, 1, "no place"), (8, 3, "not in vocabulary")]
+    best = grid.layout_for(ranked, vocabulary(spark), (1, 2), best_ranks=True)
+    assert rows(best, "itemid") == [(2,), (3,)]
+    assert rows(grid.left_out(ranked, best, vocabulary(spark)), "itemid", "reason") == [
+        (5, "no place"), (8, "not in vocabulary")]
+
+
 def test_layout_is_a_bijection(spark):
     layout = grid.layout_of_vocabulary(vocabulary(spark), (3, 3))
     assert layout.count() == 5

@@ -1,13 +1,13 @@
 """Readers on files that are not as clean as the test tables."""
 
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F, types as T
 
 from tessera.functions.ordered import order_key, rank_key
-from tessera.operators import cohort, features, meta, profile
+from tessera.operators import cells, cohort, features, meta, profile
 from tessera.plans import jobs
 from tessera.sources import reports, tables, text
 
@@ -173,3 +173,22 @@ def test_files_with_another_header_or_broken_rows_fail(spark, tmp_path):
     (tmp_path / "b.csv").write_text("id,note\n2,y,3\n")
     with pytest.raises(Exception, match="(?i)malformed"):
         text.read_csv(spark, str(tmp_path), schema, line_breaks=True).collect()
+
+
+@pytest.mark.parametrize("window, stride, bins", [(240, 120, 10), (60, 120, 10), (48, 7, 3), (50, 24, 4), (5, 5, 2.5)])
+def test_panes_give_the_cells_of_every_window(spark, window, stride, bins):
+    rng = random.Random(6)
+    start = datetime(2020, 1, 1)
+    data = [(i, i % 3, rng.choice([1, 2, 9]), start + timedelta(minutes=rng.randint(-600, 20_000)),
+             rng.choice([None, float("nan"), float(i)]), start) for i in range(800)]
+    events = spark.createDataFrame(data, "event_id long, hadm_id long, itemid long, charttime timestamp_ntz, "
+                                         "valuenum double, admittime timestamp_ntz")
+    layout = spark.createDataFrame([(1, 0, 0), (2, 0, 1)], "itemid long, row int, col int")
+    size = {"window_hours": window, "stride_hours": stride, "bin_hours": bins}
+    keys = ["hadm_id", "window_start", "time_bin", "row", "col"]
+    want = cells.last_cells(features.sliding_windows(events, layout, **size), keys=keys).select(*keys, "value")
+    out = features.sliding_cells(events, layout, **size)
+    assert sorted(out.select(*keys, "value").collect()) == sorted(want.collect())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # Windows repeat panes, which are aggregates already.
+    assert plan.index("Generate explode") < plan.rindex("Aggregate")
