@@ -1,8 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 8).
 
-Four small transducers read the words of a clause: insult, threat and target words are marked,
-negation and reported speech open a scope.  They are composed into one deterministic transducer
-whose arcs put out the pattern that a match completes (an insult at a target, a negated one, …).
+Small transducers read the words of a clause: insult, threat and target words are marked, negation
+and reported speech open a scope, and a threat is a first person, a verb of harm and a target, the
+last before or after the verb.  They are composed into one deterministic transducer whose arcs put
+out the pattern that a match completes (an insult at a target, a negated one, a threat, …).
 A document's score is a logistic of how often its clauses match each pattern.  Insult stems
 and pattern weights are learnt from labelled rows.
 """
@@ -30,14 +31,20 @@ from tessera.llm.rule_ensemble import MAX_LABELLED, labelled_sample
 NEGATION = frozenset("not never no isn't aren't nicht kein keine nie pas jamais ni nunca sin".split())
 REPORT = frozenset("said says wrote quoted reported sagte schrieb dijo escribió dit écrit".split())
 TARGET = frozenset("you your you're du dich dir euch ihr tu te toi vous tú ti usted ustedes".split())
-THREAT = frozenset("kill hurt destroy murder töten umbringen matar matarte tuer tuerai".split())
+THREAT = frozenset("kill hurt destroy murder töten töte umbringen matar mataré matarte tuer tuerai".split())
+#: Verbs of harm that hold their target.
+AIMED = frozenset(["matarte"])
+#: First persons, also as verbs of intent.
+SUBJECT = frozenset("i i'll i'm we we'll ich wir je j'vais nous yo voy vamos".split())
+#: Verbs that hold their first person.
+SUBJECT_IN = frozenset("töte mataré tuerai".split())
 
 #: What a composed match puts out.
 PATTERNS = ("insult", "insult_target", "insult_negated", "insult_reported",
             "threat_target", "threat_other")
 #: Log odds that a pattern brings before labels are seen: by occurring, and per log odds of its
 #: words; then by the doublings of the text's length, and by themselves.
-_PRIOR_ANY = (0.5, 1.0, -1.0, -1.0, 2.0, 0.0)
+_PRIOR_ANY = (0.5, 1.0, -1.0, -1.0, 7.0, 0.0)
 _PRIOR_MORE = (0.8, 1.0, 0.3, 0.3, 1.0, 0.2)
 _PRIOR_LENGTH, _PRIOR_BASE = -0.1, -3.0
 
@@ -53,13 +60,13 @@ class Transducer:
     step: Callable[[int, str], tuple[int, str]]
 
 
-def scope(symbol: str, words: int, tag: str) -> Transducer:
-    """Open a scope of some words at ``symbol``; a marked word inside it gets ``tag``."""
+def scope(symbols: str, words: int, tag: str) -> Transducer:
+    """Open a scope of some words at one of the symbols; what is said inside it gets ``tag``."""
 
     def step(state: int, seen: str) -> tuple[int, str]:
-        if seen == symbol:
+        if seen in symbols:
             return words, ""
-        return max(state - 1, 0), tag if state and seen in ("I", "T") else ""
+        return max(state - 1, 0), tag if state else ""
 
     return Transducer(words + 1, step)
 
@@ -69,18 +76,45 @@ def near_target(words: int) -> Transducer:
     return scope("Y", words, "target")
 
 
+def subject(words: int) -> Transducer:
+    """Tag what a first person says or does; verbs may hold theirs."""
+    opened = scope("S", words, "subject")
+
+    def step(state: int, seen: str) -> tuple[int, str]:
+        if seen == "F":  # opens the scope and is inside it
+            return words, "subject"
+        return opened.step(state, seen)
+
+    return Transducer(opened.size, step)
+
+
+def awaited_target(words: int) -> Transducer:
+    """Put out a threat at the target that follows a verb of harm within some words."""
+
+    def step(state: int, seen: str) -> tuple[int, str]:
+        if seen in "TF":
+            return words, ""
+        if seen == "Y" and state:
+            return 0, "awaited"
+        return max(state - 1, 0), ""
+
+    return Transducer(words + 1, step)
+
+
 def marked() -> Transducer:
     """Insults and threats put out their kind."""
-    return Transducer(1, lambda state, seen: (0, {"I": "insult", "T": "threat"}.get(seen, "")))
+    kinds = {"I": "insult", "T": "threat", "F": "threat", "A": "aimed"}
+    return Transducer(1, lambda state, seen: (0, kinds.get(seen, "")))
 
 
-SYMBOLS = ("I", "T", "Y", "N", "R", "-")
+#: Insult, verb of harm (with its first person, with its target), target, negation, report, first person.
+SYMBOLS = ("I", "T", "F", "A", "Y", "N", "R", "S", "-")
 
 
 @functools.cache
 def grammar() -> tuple[dict[tuple[int, str], int], dict[tuple[int, str], str]]:
     """The composition: next state and pattern of each arc, states numbered from 0 at the start."""
-    machines = (marked(), near_target(4), scope("N", 3, "negated"), scope("R", 6, "reported"))
+    machines = (marked(), near_target(4), scope("N", 3, "negated"), scope("R", 6, "reported"), subject(5), awaited_target(3))
     number = {s: i for i, s in enumerate(product(*(range(m.size) for m in machines)))}
     move, output = {}, {}
     for state, i in number.items():
@@ -98,9 +132,10 @@ def _pattern(kind: str, tags: set[str]) -> str:
             if tag in tags:
                 return f"insult_{tag}"
         return "insult"
-    if kind == "threat":
-        return "threat_target" if tags == {"target"} else "threat_other"
-    return ""
+    aimed = kind == "aimed" or "awaited" in tags or kind == "threat" and "target" in tags
+    if aimed and "subject" in tags and not tags & {"negated", "reported"}:
+        return "threat_target"
+    return "threat_other" if kind in ("threat", "aimed") else ""
 
 
 class Scorer:
@@ -128,7 +163,9 @@ class Scorer:
                     return "I", weight
                 break
         if word in THREAT:
-            return "T", 2.0
+            return "A" if word in AIMED else "F" if word in SUBJECT_IN else "T", 2.0
+        if word in SUBJECT:
+            return "S", 0.0
         if word in TARGET:
             return "Y", 0.0
         if word in NEGATION:

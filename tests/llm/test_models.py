@@ -60,6 +60,20 @@ def test_grammar_composes_scopes():
     assert not one["whole"] and not one["inside"]
 
 
+@pytest.mark.parametrize("text, threat", [
+    ("I will kill you", True), ("we'll hurt your family", True), ("ich werde dich töten", True), ("ich töte dich", True),
+    ("töte dich", True), ("te voy a matar", True), ("voy a matarte mañana", True), ("yo mataré a usted", True),
+    ("je vais te tuer", True), ("je te tuerai", True), ("nous allons vous tuer", True),
+    ("you kill me", False), ("I will not kill you", False), ("he said I kill you", False), ("frost may kill your plants", False),
+    ("I will kill. you wait", False), ("ich werde dich nie töten", False), ("the war will destroy towns", False)])
+def test_threats_have_a_first_person_and_a_target_on_either_side(text, threat):
+    scorer = toxicity.Scorer((("idio", 3.0),))
+    assert ("threat_target" in scorer.weights(text)) == threat
+    weights = toxicity.ToxicityModel((("idio", 3.0),), tuple(toxicity._prior())).weights
+    score = float(trees.sigmoid(np.dot(scorer.features(text), weights[:-1]) + weights[-1]))
+    assert (score > 0.7) == threat
+
+
 def test_stems_branch():
     known = {"los": 12, "lose": 12, "loser": 12, "low": 40, "lowe": 40, "lowea": 9, "loweb": 9, "lowec": 9}
     assert toxicity.choose_stems(known) == ["loser", "lowe"]
