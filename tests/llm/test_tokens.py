@@ -106,3 +106,45 @@ def test_bounds_hold():
         assert -(-lengths.sum() // 2048) <= packing.bin_bound(lengths, 2048) <= len(fills)
     assert packing.bin_bound(np.array([1100] * 9), 2048) == 9
     assert packing.bin_bound(np.zeros(0, np.int64), 2048) == 0
+
+
+def test_a_gap_falls_in_one_bucket_and_bounds_are_told(spark):
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(300, 760, 3_000)
+    plain, bound = len(packing.best_fit_decreasing(lengths, 2048)[2]), packing.bin_bound(lengths, 2048)
+    items = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)],
+                                  "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    places, told = packing.pack_certified(items)
+    rows, (told,) = places.toPandas(), told.collect()
+    assert bound <= told.bins < bound + (plain - bound) / 3 and told.bins == rows["sequence_id"].nunique()
+    assert (told.bound, told.pieces, told.given_up) == (bound, 3_000, 0) and packing.least_sequences(items) == bound
+    for _, one in rows.groupby("sequence_id"):
+        one = one.sort_values("offset")
+        assert one["length"].sum() <= 2048 and (one["offset"] == one["length"].cumsum() - one["length"]).all()
+    places, told = packing.pack_certified(items, bucket_rows=200, merge=4)
+    assert places.count() == 3_000 and all(r.bound <= r.bins for r in told.collect())
+    assert {r.turn for r in told.collect()} == {0, 1, 2} and places.select("sequence_id").distinct().count() < plain
+
+
+def test_sets_fill_bins_exactly():
+    rng = np.random.default_rng(2)
+    for lengths in (np.array([5, 5, 5, 3, 2]), np.array([7]), np.zeros(0, np.int64), rng.integers(1, 11, 200), np.full(9, 4)):
+        bins, offsets, fills = packing.fill_decreasing(lengths, 10)
+        assert (np.bincount(bins, lengths, len(fills)) == fills).all() and (fills <= 10).all()
+        for b in range(len(fills)):
+            own = np.flatnonzero(bins == b)
+            own = own[np.argsort(offsets[own])]
+            assert (offsets[own] == np.cumsum(lengths[own]) - lengths[own]).all()
+    assert len(packing.fill_decreasing(np.array([6, 5, 5, 4, 3, 3, 2, 2]), 10)[2]) == 3
+
+
+def test_words_survive_the_change_of_generations():
+    small = packing.WordTokenizer(packing.public_tokenizers.path(packing.TOKENIZER), cache=20)
+    large = packing.WordTokenizer(packing.public_tokenizers.path(packing.TOKENIZER))
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(80)]
+    for _ in range(40):
+        texts = [" ".join(rng.choices(words, k=15)) for _ in range(4)]
+        for a, b in zip(small.encode(texts), large.encode(texts)):
+            assert a.tolist() == b.tolist()
+    assert len(small.words) <= 20 and len(small.words.older) == 20
