@@ -44,7 +44,7 @@ PATTERNS = ("insult", "insult_target", "insult_negated", "insult_reported",
             "threat_target", "threat_other")
 #: Log odds that a pattern brings before labels are seen: by occurring, and per log odds of its
 #: words; then by the doublings of the text's length, and by themselves.
-_PRIOR_ANY = (0.5, 1.0, -1.0, -1.0, 7.0, 0.0)
+_PRIOR_ANY = (0.5, 1.0, -1.0, -1.0, 8.0, 0.0)
 _PRIOR_MORE = (0.8, 1.0, 0.3, 0.3, 1.0, 0.2)
 _PRIOR_LENGTH, _PRIOR_BASE = -0.1, -3.0
 
