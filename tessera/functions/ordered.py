@@ -54,16 +54,16 @@ def rank_key(df: DataFrame, time: str, tiebreak: Sequence[str]) -> Column:
 
 
 def slice_cuts(df: DataFrame, *, part: str, time: str, tiebreak: Sequence[str],
-               slice_rows: int = SLICE_ROWS) -> DataFrame:
+               slice_rows: int | None = None) -> DataFrame:
     """``(part, _cuts)``: the sorted order keys at which the histories of long parts are cut.
 
     A row is drawn by the hash of its part, time and tie-breaks, so the cuts depend on the data
-    alone and every plan that uses them cuts alike.  Parts of fewer than some ``slice_rows`` rows
-    have none.  There are ``MAX_CUTS`` cuts at most, also where slices grow longer by that.
+    alone and every plan that uses them cuts alike.  Slices have about ``slice_rows`` rows
+    (``SLICE_ROWS`` if not given), and most parts of fewer rows have no cut.  There are ``MAX_CUTS`` cuts at most, also where slices grow longer by that.
     """
     key = [F.col(c) for c in (part, time, *tiebreak)]
     h = F.xxhash64(*key)
-    drawn = (df.filter(F.pmod(h, F.lit(max(1, slice_rows // _DRAWN))) == 0)
+    drawn = (df.filter(F.pmod(h, F.lit(max(1, (slice_rows or SLICE_ROWS) // _DRAWN))) == 0)
              .select(F.col(part), rank_key(df, time, tiebreak).alias("_key"), h.alias("_h")))
     # The filter leaves few rows of each task for the limit to look at.
     drawn = drawn.orderBy("_h").limit(_DRAWN * MAX_CUTS)
@@ -96,7 +96,7 @@ def sliced(df: DataFrame, cuts: DataFrame, *, part: str, time: str, tiebreak: Se
 
 def nearest_known(df: DataFrame, known: dict[str, str], *, part: str, time: str,
                   tiebreak: Sequence[str], forward: bool, include_current: bool,
-                  slice_rows: int = SLICE_ROWS, edges_from: DataFrame | None = None,
+                  slice_rows: int | None = None, edges_from: DataFrame | None = None,
                   cuts: DataFrame | None = None) -> DataFrame:
     """Add, per entry ``new -> source`` of ``known``, the nearest non-null ``source``.
 

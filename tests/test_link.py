@@ -91,8 +91,8 @@ def brute(events, admissions, policy):
 @pytest.mark.parametrize("policy", link.POLICIES)
 @pytest.mark.parametrize("untimed", [0.05, 0.6])
 def test_hot_subject_equals_brute_force(spark, policy, untimed, monkeypatch):
-    # Small blocks, so that rows without a time fall into many slices as well.
-    monkeypatch.setattr(ordered, "UNTIMED_BLOCK", 40)
+    # Small slices, so that rows without a time fall into many of them as well.
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 40)
     rng = random.Random(11)
     start = pd.Timestamp("2020-01-01")
 
