@@ -98,6 +98,45 @@ def small_splits(spark):
         spark.conf.unset(k) if value is None else spark.conf.set(k, value)
 
 
+TASK_BYTES = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
+@pytest.fixture()
+def own_task_bytes(spark):
+    """The size of tasks is the test's own, and shuffles have more parts than the session has cores."""
+    old = {k: spark.conf.get(k, None) for k in (TASK_BYTES, "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    yield spark
+    for k, value in old.items():
+        spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+
+
+@pytest.mark.parametrize("given", [None, "64MB", "1g"])
+def test_tasks_read_small_parts_of_a_shuffle(own_task_bytes, given):
+    spark = own_task_bytes
+    spark.conf.unset(TASK_BYTES) if given is None else spark.conf.set(TASK_BYTES, given)
+    q.QUERIES["grid_sweep_admission"](spark, SF)
+    # Some 160 MB of ids that do not compress: with 64 MB a task they meet in one part per core.
+    ids = spark.range(8_000_000).select(F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(1)).alias("b"))
+    assert ids.repartition("a").rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("given", ["20k", "8388608", "16m"])
+def test_smaller_parts_stay_the_clusters_own(own_task_bytes, given):
+    own_task_bytes.conf.set(TASK_BYTES, given)
+    q.QUERIES["grid_sweep_admission"](own_task_bytes, SF)
+    assert own_task_bytes.conf.get(TASK_BYTES) == given
+
+
+@pytest.mark.parametrize("name", [
+    "grid_sweep_admission",
+])
+def test_queries_on_stays_lower_the_size_of_tasks(own_task_bytes, name):
+    own_task_bytes.conf.set(TASK_BYTES, "64MB")
+    q.QUERIES[name](own_task_bytes, SF)
+    assert own_task_bytes.conf.get(TASK_BYTES) == "16m"
+
+
 def hot_events(spark, column: str):
     """Events of which two thirds share one key, from several map tasks as in any large table."""
     hot = F.when(F.col("event_id") % 3 > 0, 7).otherwise(F.col(column)).cast("long")
