@@ -136,6 +136,7 @@ def test_smaller_parts_stay_the_clusters_own(own_task_bytes, given):
     "sampling_frequency",
     "subset_admission_stats",
     "subset_overview",
+    "cohort_by_specimens",
 ])
 def test_queries_on_stays_lower_the_size_of_tasks(own_task_bytes, name):
     own_task_bytes.conf.set(TASK_BYTES, "64MB")
