@@ -138,6 +138,7 @@ def test_smaller_parts_stay_the_clusters_own(own_task_bytes, given):
     "subset_overview",
     "cohort_by_specimens",
     "cohort_in_window",
+    "lab_coverage",
 ])
 def test_queries_on_stays_lower_the_size_of_tasks(own_task_bytes, name):
     own_task_bytes.conf.set(TASK_BYTES, "64MB")
